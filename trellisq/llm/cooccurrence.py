@@ -45,7 +45,8 @@ def item_pairs(baskets: DataFrame, block: int = 128) -> DataFrame:
     chunks = sets.where(F.size("items") > block).select(cut.alias("chunks"))
     # One row for each product of two chunks, spread over the tasks before it is expanded.
     products = chunks.select("chunks", F.posexplode("chunks").alias("i", "x")).select(
-        "x", "i", F.posexplode("chunks").alias("j", "y")).where(F.col("i") <= F.col("j")).repartition()
+        "x", "i", F.posexplode("chunks").alias("j", "y")).where(F.col("i") <= F.col("j")).repartition(
+        "i", "j", F.xxhash64("x", "y"))
     large = products.select(F.explode(
         F.when(F.col("i") == F.col("j"), _within(F.col("x"))).otherwise(_between(F.col("x"), F.col("y")))).alias("p"))
     return small.unionByName(large).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n_ab"))

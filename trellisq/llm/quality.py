@@ -122,31 +122,34 @@ def language_sketches(stats: DataFrame) -> DataFrame:
         *[F.kll_sketch_agg_double(F.col(s).cast("double")).alias(f"sk_{s}") for s in STATISTICS])
 
 
-def quality(stats: DataFrame, tail: float = 0.5) -> DataFrame:
+def quality(stats: DataFrame, tail: float = 0.5, near_tail: float = 0.65) -> DataFrame:
     """The statistics with ``pct_*`` (percentile in the language), ``z_*`` (robust z) and ``flagged``.
 
     z is the distance from the median in units of the interquartile range over
     1.349 (0 where that range is 0 and the value is the median). A document is
-    flagged if less than half of its characters are in lines of running text,
-    or if its share of common words lies in the low tail: below ``tail`` times
-    what the upper fifth of its language's documents reach. Rows without text
-    have null in all of these and are not flagged.
+    flagged if its share of common words lies in the low tail: below ``tail``
+    times what the upper fifth of its language's documents reach, or below
+    ``near_tail`` times that while less than half of its characters are in
+    lines of running text (narrowly wrapped prose has short lines, but many
+    common words). Rows without text have null in all of these and are not
+    flagged.
     """
     sketches = language_sketches(stats)
-    q = {s: [F.kll_sketch_get_quantile_double(f"sk_{s}", F.lit(p)).alias(f"q{int(p * 100)}_{s}")
-             for p in (0.25, 0.5, 0.75, 0.8)] for s in STATISTICS}
+    points = F.array(*[F.lit(k / 100) for k in range(101)])
     # As many rows as there are languages in the data.
-    ref = sketches.select("lang", *[f"sk_{s}" for s in STATISTICS], *[c for cs in q.values() for c in cs])
+    ref = sketches.select("lang", *[
+        F.kll_sketch_get_quantile_double(f"sk_{s}", points).alias(f"q_{s}") for s in STATISTICS])
+    at = lambda s, k: F.element_at(f"q_{s}", k + 1)
     joined = stats.join(ref, "lang", "left")
     has = F.col("symbol_ratio").isNotNull()
-    pct = {
-        f"pct_{s}": F.when(has, F.kll_sketch_get_rank_double(f"sk_{s}", F.col(s).cast("double"))) for s in STATISTICS}
+    below = lambda s: F.size(F.filter(f"q_{s}", lambda e: e <= F.col(s)))
+    pct = {f"pct_{s}": F.when(has, F.greatest(below(s) - 1, F.lit(0)) / 100) for s in STATISTICS}
     z = {}
     for s in STATISTICS:
-        spread = (F.col(f"q75_{s}") - F.col(f"q25_{s}")) / 1.349
-        off = F.col(s) - F.col(f"q50_{s}")
+        spread = (at(s, 75) - at(s, 25)) / 1.349
+        off = F.col(s) - at(s, 50)
         z[f"z_{s}"] = F.when(has, F.when(off == 0, 0.0).otherwise(off / F.greatest(spread, F.lit(1e-6))))
-    low = F.col("common_share") < F.lit(tail) * F.col("q80_common_share")
-    flagged = has & ((F.col("prose_share") < 0.5) | F.coalesce(low, F.lit(False)))
+    low = lambda share: F.col("common_share") < F.lit(share) * at("common_share", 80)
+    flagged = has & F.coalesce(low(tail) | (low(near_tail) & (F.col("prose_share") < 0.5)), F.lit(False))
     return joined.withColumns({**pct, **z, "flagged": flagged}).select(
         "doc_id", "lang", *STATISTICS, *pct, *z, "flagged")
