@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellisq.functions.normalize import tag_set
-from trellisq.llm import cooccurrence, mixing, quality, residue
+from trellisq.llm import cooccurrence, mixing, quality, residue, truncation
 from trellisq.session import cut_lineage
 from trellisq.sources.tables import current_problems, table
 
@@ -26,6 +26,22 @@ def db_values(spark: SparkSession, sf_dir: str, fields: dict[str, str | None]) -
     return db.select("entry_id", rows.alias("r")).select("entry_id", "r.*")
 
 
+def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All values of the fields, without the code that is residue or error text."""
+    values = db_values(
+        spark, sf_dir, {"explanation": "math_model", "worked_example": "math_model", "cpp": "code_model"})
+    code = db_values(spark, sf_dir, {"cpp": "code_model"})
+    return truncation.truncated(values.join(residue.find_residue(code, _COMMON), ["entry_id", "field"], "left_anti"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _truncated(spark, sf_dir).where("cut").select("entry_id", "field")
+
+
+def p1_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.source_report(_truncated(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(
         db_values(spark, sf_dir, {"description": None, "cpp": None}), _COMMON).select("entry_id", "field")
@@ -105,6 +121,8 @@ FROM s""",
 }
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_sources": p1_sources,
     "p2_found": p2_found,
     "p2_kinds": p2_kinds,
     "p3_found": p3_found,

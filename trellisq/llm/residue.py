@@ -75,7 +75,7 @@ TREE_DEPTH, SIMILARITY = 2, 0.6
 
 def _messages(value: Column, is_code: Column) -> Column:
     """The messages of a value: its sentences, or of code the comments and what is not code."""
-    markup = F.regexp_replace(value, r"(?s)<(?:/?[a-zA-Z!][^<>]{0,200})>", "\n")
+    markup = F.regexp_replace(value, r"(?s)<!--|-->|<(?:/?[a-zA-Z!][^<>]{0,200})>", "\n")
     json = F.regexp_replace(F.regexp_extract(value, r'^\s*\{"[a-z]+":\s*"((?:[^"\\]|\\.)*)"', 1), r"\\(.)", "$1")
     text = F.when(json != "", json).otherwise(markup)
     sentences = F.split(text, r"(?<=[.!?])\s+|\n+")
