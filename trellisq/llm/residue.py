@@ -10,11 +10,13 @@ are found by their syntax.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellisq.session import broadcast_if_small
+from trellisq.session import broadcast_if_small, cut_lineage
 
 #: Fixed value: what the generator stores where it failed.
 SENTINEL = "GENERATION_FAILED"
@@ -90,11 +92,11 @@ def _messages(value: Column, is_code: Column) -> Column:
     return F.filter(clean, lambda x: x.rlike(r"\w"))
 
 
-def _cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Templates of one leaf: a message joins the template that shares most of its tokens."""
+def _cluster(messages: list[str]) -> list[str]:
+    """The template of each message of one leaf: a message joins the template that shares most of its tokens."""
     templates: list[list[str]] = []
     chosen = []
-    for m in pdf["message"]:
+    for m in messages:
         toks = m.split(" ")
         best, at = 0.0, -1
         for k, t in enumerate(templates):
@@ -108,7 +110,30 @@ def _cluster(pdf: pd.DataFrame) -> pd.DataFrame:
             at = len(templates) - 1
         chosen.append(at)
     names = [" ".join(t) for t in templates]
-    return pd.DataFrame({"message": pdf["message"], "template": [names[k] for k in chosen]})
+    return [names[k] for k in chosen]
+
+
+def _cluster_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(message, template) of rows that come sorted by leaf and part; one part of a leaf is held at a time."""
+    key, held = None, []
+    done_m: list[str] = []
+    done_t: list[str] = []
+    for b in batches:
+        for leaf, part, message in zip(b["leaf"], b["part"], b["message"]):
+            if (leaf, part) != key:
+                done_m += held
+                done_t += _cluster(held)
+                key, held = (leaf, part), []
+                if len(done_m) >= 10_000:
+                    yield pd.DataFrame({"message": done_m, "template": done_t})
+                    done_m, done_t = [], []
+            held.append(message)
+    yield pd.DataFrame({"message": done_m + held, "template": done_t + _cluster(held)})
+
+
+def _in_leaves(keyed: DataFrame) -> DataFrame:
+    placed = keyed.select("leaf", "part", "message").repartition("leaf", "part").sortWithinPartitions("leaf", "part", "message")
+    return placed.mapInPandas(_cluster_leaves, "message string, template string")
 
 
 def mine_templates(messages: DataFrame) -> DataFrame:
@@ -124,11 +149,10 @@ def mine_templates(messages: DataFrame) -> DataFrame:
     keyed = messages.select("message").distinct().withColumn("leaf", leaf)
     sizes = keyed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / LEAF_ROWS).alias("parts"))
     parted = keyed.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("message"), F.col("parts")))
-    first = parted.groupBy("leaf", "part").applyInPandas(
-        lambda key, pdf: _cluster(pdf.sort_values("message")), "message string, template string")
-    t = first.select(F.col("template").alias("message")).distinct().withColumn("leaf", leaf)
-    second = t.groupBy("leaf").applyInPandas(
-        lambda key, pdf: _cluster(pdf.sort_values("message")), "message string, template string")
+    first = _in_leaves(parted)
+    # The parts' templates are few; those of a leaf meet in one task.
+    second = _in_leaves(first.select(F.col("template").alias("message")).distinct().select(
+        "message", leaf.alias("leaf"), F.lit(0).cast("bigint").alias("part")))
     merged = second.select(F.col("message").alias("template"), F.col("template").alias("merged"))
     return first.join(merged, "template").select("message", F.col("merged").alias("template"))
 
@@ -179,12 +203,13 @@ def find_residue(values: DataFrame, common_words: str) -> DataFrame:
                     F.regexp_like("value", F.lit(r"[;{}][^\"]*\n")).alias("codelike"))
     each = said.select("entry_id", "field", F.explode("m").alias("message"),
                        ((F.size("m") <= ALONE_MESSAGES) & ~F.col("codelike")).alias("is_alone"))
-    counted = each.groupBy("message").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("is_alone").cast("int")).alias("alone"))
-    mined = mine_templates(counted)
+    # Read several times below, and small against the texts: distinct messages and their templates.
+    counted = cut_lineage(each.groupBy("message").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("is_alone").cast("int")).alias("alone")))
+    mined = cut_lineage(mine_templates(counted))
     by_template = mined.join(counted, "message").groupBy("template").agg(
         F.sum("n").alias("n"), F.sum("alone").alias("alone"), F.min("message").alias("sample"))
-    bad = mined.join(classify_templates(by_template), "template").select("message", "kind")
+    bad = cut_lineage(mined.join(classify_templates(by_template), "template").select("message", "kind"))
     hit = each.join(broadcast_if_small(bad, MAX_BROADCAST_MESSAGES), "message").select("entry_id", "field", "kind")
     return whole.unionByName(hit).groupBy("entry_id", "field").agg(
         F.min(F.struct((F.col("kind") != "slot").alias("o"), "kind"))["kind"].alias("kind"))
