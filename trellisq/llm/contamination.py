@@ -226,14 +226,15 @@ def held_share(item: list[str], distinct: list[bool], doc: list[str], p: Leaks)
 
     A window is held if most of its words, and two thirds of those that are no
     frame, are met in order within a slightly longer stretch of the document.
-    The whole counts as nothing if less than 0.6 of the numbers, or of the
-    other words that are no frame, of the held part are met.
+    Held windows follow each other in the
+    item's order. The whole counts as nothing if less than 0.6 of the numbers,
+    or of the other words that are no frame, of the held part are met.
     """
     places = defaultdict(list)
     for j, w in enumerate(doc):
         places[w].append(j)
     n, size = len(item), min(p.window, len(item))
-    held, met = [False] * n, [False] * n
+    windows: list[tuple[int, int, list[int]]] = []  # start in the item, place in the document, positions met
     for i in range(0, n - size + 1):
         own = [k for k in range(i, i + size) if distinct[k]]
         if len(own) < 2:
@@ -248,11 +249,22 @@ def held_share(item: list[str], distinct: list[bool], doc: list[str], p: Leaks)
             at = [i + x for x in _matches(item[i:i + size], doc[max(0, base * 3 - 3):base * 3 + 2 * size + 2])]
             got = set(at)
             if len(at) >= min(p.window_matches, size) and sum(k in got for k in own) * 3 >= len(own) * 2:
-                for k in range(i, i + size):
-                    held[k] = True
-                for k in at:
-                    met[k] = True
+                windows.append((i, base * 3, at))
                 break
+    # The longest chain of windows that keeps the item's order (places are known to a few words).
+    best, back = [1] * len(windows), [-1] * len(windows)
+    for x in range(len(windows)):
+        for y in range(x):
+            if windows[y][1] <= windows[x][1] + 6 and best[y] + 1 > best[x]:
+                best[x], back[x] = best[y] + 1, y
+    held, met = [False] * n, [False] * n
+    x = max(range(len(windows)), key=best.__getitem__) if windows else -1
+    while x >= 0:
+        i, _, at = windows[x]
+        held[i:i + size] = [True] * size
+        for k in at:
+            met[k] = True
+        x = back[x]
     for kind in (True, False):
         of = [k for k in range(n) if held[k] and distinct[k] and item[k].isdigit() == kind]
         if sum(met[k] for k in of) < 0.6 * len(of):

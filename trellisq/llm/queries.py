@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellisq.functions.normalize import tag_set
-from trellisq.llm import cooccurrence, mixing, quality, residue, truncation
+from trellisq.llm import contamination, cooccurrence, mixing, quality, residue, truncation
 from trellisq.session import cut_lineage
 from trellisq.sources.tables import current_problems, table
 
@@ -67,6 +67,20 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"), F.round("jaccard", 6).alias("jaccard"))
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents hold each leaked item, and the largest share of it that one holds."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(
+        F.countDistinct("doc_id").alias("n_docs"), F.round(F.max("share"), 4).alias("max_share"))
+
+
 def _sized(spark: SparkSession, sf_dir: str, tokenizer_path: str = mixing.DEFAULT_TOKENIZER) -> DataFrame:
     return mixing.with_tokens(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text", tokenizer_path)
 
@@ -127,6 +141,8 @@ QUERIES = {
     "p2_kinds": p2_kinds,
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
+    "p6_found": p6_found,
+    "p6_items": p6_items,
     "p7_found": p7_found,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
