@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trellisq.plans import core_p
+from trellisq.plans import core_p, practice, practice_sql
 
-FLAGSHIP = "p4_found"
+FLAGSHIP = "q_recommend_balanced"
 
-QUERIES = {**core_p.QUERIES}
-SQL = {**core_p.SQL}
+QUERIES = {**practice.QUERIES, **core_p.QUERIES}
+SQL = {**practice_sql.SQL, **core_p.SQL}

@@ -20,9 +20,9 @@ def latest_by(df: DataFrame, keys: list[str], version: str, values: list[str]) -
     versions the greatest values hold, so the choice does not depend on order.
     Map-typed values are not supported.
     """
-    row = F.struct(F.col(version), *[F.col(v) for v in values])
+    row = F.struct(F.col(version).alias("_version"), *[F.col(v).alias(f"_{k}") for k, v in enumerate(values)])
     best = df.groupBy(*keys).agg(F.max(row).alias("_row"))
-    return best.select(*keys, *[F.col("_row")[v].alias(v) for v in values])
+    return best.select(*keys, *[F.col("_row")[f"_{k}"].alias(v) for k, v in enumerate(values)])
 
 
 def current_problems(problems: DataFrame) -> DataFrame:
