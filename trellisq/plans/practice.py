@@ -14,9 +14,11 @@ from trellisq.operators import markup as M
 from trellisq.operators import profile as P
 from trellisq.operators import progress as G
 from trellisq.operators import recommend as R
+from trellisq.operators import reports
 from trellisq.operators import topics as T
 from trellisq.sources import domain as D
 from trellisq.sources.tables import table
+from trellisq.streaming import jobs as J
 
 QUERIES = {}
 #: Tags that the registered queries ignore besides the fixed ones, so that the rule is exercised.
@@ -413,3 +415,23 @@ def q_graph_prereq_closure(s, d):
 @query
 def q_graph_depth(s, d):
     return H.hierarchy(_edges(s, d)).select(F.col("node").alias("slug"), "depth")
+
+
+@query
+def q_report_topics(s, d):
+    return reports.breakdown_lines(q_topic_breakdown(s, d)).select("user_id", "tag", "line")
+
+
+@query
+def q_stream_daily_activity(s, d):
+    return J.daily_activity(J.activity_stream(s, d))
+
+
+@query
+def q_stream_contest_solved(s, d):
+    return J.contest_solved(J.submission_stream(s, d), D.problems(s, d))
+
+
+@query
+def q_stream_first_seen(s, d):
+    return J.first_seen(J.submission_stream(s, d))

@@ -261,4 +261,7 @@ SQL = {
     "q_graph_prereq_closure": _EDGES + """, d AS (SELECT parent AS from_slug, child AS to_slug, CAST(1 AS BIGINT) AS distance FROM e UNION ALL SELECT d.from_slug, e.child, d.distance + 1 FROM d JOIN e ON e.parent = d.to_slug WHERE d.distance < 1000)
       SELECT * FROM d WHERE from_slug IN (SELECT slug FROM w)""",
     "q_graph_depth": _EDGES + " SELECT slug, depth FROM w UNION ALL SELECT slug, CAST(-1 AS BIGINT) FROM n WHERE slug NOT IN (SELECT slug FROM w)",
+    "q_stream_daily_activity": _with("act", "SELECT user_id, date, count(*) AS attempted, count(*) FILTER (ok) AS solved FROM act GROUP BY ALL"),
+    "q_stream_contest_solved": _with("solved p", "SELECT * FROM solved SEMI JOIN p USING (contest_id, idx)"),
+    "q_stream_first_seen": _with("s", "SELECT user_id, contest_id, idx, min(CAST(sent AS DATE)) AS date FROM s WHERE ok GROUP BY ALL"),
 }
