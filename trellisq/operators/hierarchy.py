@@ -25,7 +25,7 @@ def _parents(links: DataFrame, nodes: DataFrame | None) -> DataFrame:
     """(node, parent) for every node; parent is null for a root."""
     clean = links.select(F.col("parent"), F.col("child")).where(F.col("child").isNotNull())
     child_rows = clean.groupBy("child").agg(F.min("parent").alias("parent"))
-    names = [clean.select(F.col("child").alias("node")), clean.select(F.col("parent").alias("node"))]
+    names = [links.select(F.col("child").alias("node")), links.select(F.col("parent").alias("node"))]
     if nodes is not None:
         names.append(nodes.select("node"))
     every = reduce(DataFrame.unionByName, names).where(F.col("node").isNotNull()).distinct()

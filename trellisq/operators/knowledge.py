@@ -139,5 +139,5 @@ def tolerant_json(raw: Column) -> Column:
     text = F.trim(F.regexp_replace(raw, r"(?s)<think>.*?</think>", ""))
     text = F.regexp_replace(F.regexp_replace(text, r"^```(?:json)?\s*", ""), r"\s*```$", "")
     body = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    fixed = F.regexp_replace(body, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
+    fixed = F.regexp_replace(body, r'\\(?!["\\/bfnrtu])', r"\\\\")
     return F.when(body != "", fixed)

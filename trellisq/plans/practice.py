@@ -283,7 +283,7 @@ def q_topic_index(s, d):
 
 @query
 def q_topic_lookup(s, d):
-    return K.lookup(D.topics(s, d), "range-counting")
+    return K.lookup(D.topics(s, d), "hull")
 
 
 @query
@@ -324,7 +324,8 @@ def q_kb_latest(s, d):
 @query
 def q_kb_pending(s, d):
     edges = table(s, d, "connections")
-    wanted = edges.select(F.col("from_slug").alias("slug")).unionByName(edges.select(F.col("to_slug").alias("slug")))
+    wanted = edges.select(F.col("from_slug").alias("slug")).unionByName(edges.select(F.col("to_slug").alias("slug"))).unionByName(
+        table(s, d, "db").select(F.explode("prereqs").alias("slug")))
     return K.pending(wanted, D.topics(s, d))
 
 

@@ -234,7 +234,7 @@ SQL = {
       SEMI JOIN p USING (contest_id, idx) WHERE rn <= 50 AND ok"""),
     "q_virtual_contest": _with("u p solved", _virtual()),
     "q_topic_index": _with("kb", "SELECT coalesce(category, 'Uncategorized') AS category, count(*) AS n, string_agg(slug, ',' ORDER BY entry_id) AS slugs FROM kb GROUP BY 1"),
-    "q_topic_lookup": _with("kb", "SELECT entry_id, slug, title, slug = 'range-counting' AS exact FROM kb WHERE contains(slug, 'range-counting') ORDER BY exact DESC, entry_id LIMIT 5"),
+    "q_topic_lookup": _with("kb", "SELECT entry_id, slug, title, slug = 'hull' AS exact FROM kb WHERE contains(slug, 'hull') ORDER BY exact DESC, entry_id LIMIT 5"),
     "q_topic_category": _with("kb", "SELECT id, slug, title, category FROM kb WHERE lower(category) = 'graphs'"),
     "q_search": _with("kb", _search()),
     "q_search_highlight": _with("kb", """SELECT slug, CASE WHEN strpos(lower(title), 'hull') > 0 THEN
@@ -245,7 +245,8 @@ SQL = {
     "q_kb_failed": _with("kb", """SELECT slug, a AS math_failed, b AS code_failed FROM (SELECT slug, coalesce(description = 'GENERATION_FAILED', false) AS a,
       coalesce(contains(cpp, 'GENERATION_FAILED'), false) AS b FROM kb) WHERE a OR b"""),
     "q_kb_latest": _with("kb", "SELECT slug, entry_id, title FROM kb"),
-    "q_kb_pending": _with("kb", """SELECT DISTINCT slug FROM (SELECT lower(trim(from_slug)) AS slug FROM connections UNION SELECT lower(trim(to_slug)) FROM connections)
+    "q_kb_pending": _with("kb", """SELECT DISTINCT slug FROM (SELECT lower(trim(from_slug)) AS slug FROM connections UNION SELECT lower(trim(to_slug)) FROM connections
+      UNION SELECT lower(trim(p)) FROM (SELECT unnest(prereqs) AS p FROM db))
       WHERE slug IS NOT NULL AND slug NOT IN (SELECT slug FROM kb WHERE slug IS NOT NULL)"""),
     "q_kb_upsert": _with("kb", """SELECT slug, title, category FROM kb WHERE slug NOT IN (SELECT lower(trim(slug)) FROM core_topics)
       UNION ALL SELECT lower(trim(slug)), title, category FROM core_topics"""),
