@@ -39,8 +39,9 @@ def item_pairs(baskets: DataFrame, block: int = 128) -> DataFrame:
     sets = baskets.select(F.array_sort(F.array_distinct(F.array_compact("items"))).alias("items")).where(
         F.size("items") > 1)
     small = sets.where(F.size("items") <= block).select(F.explode(_within(F.col("items"))).alias("p"))
+    # Spark may try the expression on baskets that the filter drops: it has to hold for these too.
     cut = F.transform(
-        F.sequence(F.lit(0), F.ceil(F.size("items") / block).cast("int") - 1),
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size("items") / block).cast("int") - 1, F.lit(0))),
         lambda k: F.slice(F.col("items"), k * block + 1, block))
     chunks = sets.where(F.size("items") > block).select(cut.alias("chunks"))
     # One row for each product of two chunks, spread over the tasks before it is expanded.

@@ -171,7 +171,7 @@ def classify_templates(stats: DataFrame) -> DataFrame:
         F.when(sample.contains(SENTINEL.lower()), "sentinel")
         .when(F.regexp_like(sample, wording), "wording")
         .when(repeated, "filler")
-        .when(sample.rlike(SUSPECT_TERMS) & (alone >= 0.8), "suspect")
+        .when(sample.rlike(SUSPECT_TERMS) & (F.col("n") >= 5) & (alone >= 0.8), "suspect")
         .when((F.col("n") >= 20) & (alone >= 0.9), "boilerplate")
     )
     return stats.withColumn("kind", kind).where(F.col("kind").isNotNull()).select("template", "kind")

@@ -231,12 +231,17 @@ def _posteriors(pdf: pd.DataFrame) -> pd.DataFrame:
         whole = np.where(real / (cuts * total) <= min(1.0, 3 * overall), 0, whole)
         return np.maximum(whole, 1e-6) / cuts
 
-    # A class with few members of either kind is judged with all of its shape.
+    # A class with few members of either kind is judged with all of its shape, and so is every class of a shape
+    # in which no whole text ends: inside an open structure, unless real texts end so as often as random cuts.
     shapes = [k.split("|")[0].rstrip("+0123456789") for k in classes]
     by_shape = {x: np.array([y == x for y in shapes]) for x in set(shapes)}
     shape_ratio = whole_to_cut(
         np.array([r[by_shape[x]].sum() for x in shapes]), np.array([c[by_shape[x]].sum() for x in shapes]))
-    ratio = np.where(r + c * total < 20, shape_ratio, whole_to_cut(r, c))
+    shape_share = np.array([r[by_shape[x]].sum() / (c[by_shape[x]].sum() * total) for x in shapes])
+    unfinished = np.array([x == "open" for x in shapes]) & (shape_share < 1)
+    shape_ratio = np.where(unfinished, 1e-6 / c, shape_ratio)
+    none_whole = unfinished | (shape_share <= 1.3 * overall)
+    ratio = np.where(none_whole | (r + c * total < 20), shape_ratio, whole_to_cut(r, c))
     index = {k: i for i, k in enumerate(classes)}
     out = []
     for (source, limit), g in real.groupby(["source", "limit"], dropna=False):
