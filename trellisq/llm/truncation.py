@@ -231,17 +231,20 @@ def _posteriors(pdf: pd.DataFrame) -> pd.DataFrame:
         whole = np.where(real / (cuts * total) <= min(1.0, 3 * overall), 0, whole)
         return np.maximum(whole, 1e-6) / cuts
 
-    # A class with few members of either kind is judged with all of its shape, and so is every class of a shape
-    # in which no whole text ends: inside an open structure, unless real texts end so as often as random cuts.
+    def pooled(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        same = {x: np.array([y == x for y in keys]) for x in set(keys)}
+        return np.array([r[same[x]].sum() for x in keys]), np.array([c[same[x]].sum() for x in keys])
+
+    # A class with few members of either kind is judged with all of its shape and kind of last line, those with few
+    # with all of their shape. No whole text ends in a shape that real texts show no more often than cuts make it,
+    # nor inside an open structure, unless real texts end so as often as random cuts.
     shapes = [k.split("|")[0].rstrip("+0123456789") for k in classes]
-    by_shape = {x: np.array([y == x for y in shapes]) for x in set(shapes)}
-    shape_ratio = whole_to_cut(
-        np.array([r[by_shape[x]].sum() for x in shapes]), np.array([c[by_shape[x]].sum() for x in shapes]))
-    shape_share = np.array([r[by_shape[x]].sum() / (c[by_shape[x]].sum() * total) for x in shapes])
+    by_shape, by_line = pooled(shapes), pooled([x + "|" + k.split("|")[2] for x, k in zip(shapes, classes)])
+    few = lambda real, cuts: real + cuts * total < 20
+    ratio = np.where(few(r, c), np.where(few(*by_line), whole_to_cut(*by_shape), whole_to_cut(*by_line)), whole_to_cut(r, c))
+    shape_share = by_shape[0] / (by_shape[1] * total)
     unfinished = np.array([x == "open" for x in shapes]) & (shape_share < 1)
-    shape_ratio = np.where(unfinished, 1e-6 / c, shape_ratio)
-    none_whole = unfinished | (shape_share <= 1.3 * overall)
-    ratio = np.where(none_whole | (r + c * total < 20), shape_ratio, whole_to_cut(r, c))
+    ratio = np.where(unfinished | (shape_share <= 1.3 * overall), 1e-6 / c, ratio)
     index = {k: i for i, k in enumerate(classes)}
     out = []
     for (source, limit), g in real.groupby(["source", "limit"], dropna=False):
