@@ -34,7 +34,7 @@ def submissions(spark: SparkSession, d: str) -> DataFrame:
     """(submission_id, user_id, contest_id, idx, ok, at): one row per submission, however often it was delivered."""
     s = table(spark, d, "submissions").select(
         "submission_id", "user_id", "contest_id", idx_key(F.col("idx")).alias("idx"),
-        F.coalesce(F.col("verdict") == "OK", F.lit(False)).alias("ok"), F.col("submitted_at").alias("at"))
+        F.col("verdict").eqNullSafe("OK").alias("ok"), F.col("submitted_at").alias("at"))
     return s.distinct()
 
 
@@ -103,7 +103,7 @@ def activity(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     return e.select(
         "event_id", "user_id", F.col("ts").alias("at"), F.to_date("ts").alias("date"),
-        F.coalesce(F.col("event_type") == "purchase", F.lit(False)).alias("ok"), "value", "event_type", "props")
+        F.col("event_type").eqNullSafe("purchase").alias("ok"), "value", "event_type", "props")
 
 
 def rating_changes(act: DataFrame) -> DataFrame:

@@ -41,20 +41,20 @@ def run_available(stream: DataFrame, mode: str) -> DataFrame:
 
 def activity_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_stream(spark, sf_dir, "events").select(
-        "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("ok"))
+        "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").eqNullSafe("purchase").alias("ok"))
 
 
 def daily_activity(activity: DataFrame, lateness: str = "30 days") -> DataFrame:
     """(user_id, date, attempted, solved) in tumbling days; later rows than the watermark are dropped."""
     days = activity.withWatermark("ts", lateness).groupBy("user_id", F.window("ts", "1 day")).agg(
-        F.count(F.lit(1)).alias("attempted"), F.count_if(F.coalesce("ok", F.lit(False))).alias("solved"))
+        F.count(F.lit(1)).alias("attempted"), F.count_if("ok").alias("solved"))
     changed = days.select("user_id", F.to_date(F.col("window.start")).alias("date"), "attempted", "solved")
     return latest_by(run_available(changed, "update"), ["user_id", "date"], "batch", ["attempted", "solved"])
 
 
 def submission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_stream(spark, sf_dir, "submissions").select(
-        "user_id", "contest_id", idx_key(F.col("idx")).alias("idx"), (F.col("verdict") == "OK").alias("ok"),
+        "user_id", "contest_id", idx_key(F.col("idx")).alias("idx"), F.col("verdict").eqNullSafe("OK").alias("ok"),
         F.col("submitted_at").cast("timestamp").alias("at"))
 
 
