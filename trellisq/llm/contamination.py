@@ -29,7 +29,7 @@ class Leaks:
     hash_bits: int = 14
     rank: int = 64
     oversample: int = 16
-    fit_words: int = 32
+    fit_words: int = 64
     doc_words: int = 32
     doc_step: int = 16
     item_words: int = 24
