@@ -86,7 +86,9 @@ def _sized(spark: SparkSession, sf_dir: str, tokenizer_path: str = mixing.DEFAUL
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.source_budgets(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")).where(
+    # Counted once: budgets read the sizes per source and in total.
+    sized = cut_lineage(_sized(spark, sf_dir).select("source", "tokens"))
+    return mixing.source_budgets(sized, table(spark, sf_dir, "mix_targets")).where(
         ~F.col("reachable")).select("source")
 
 
