@@ -44,5 +44,22 @@ def test_statistics_of_odd_rows(spark):
     assert {f"z_{s}" for s in STATISTICS} <= set(got[4].asDict())
 
 
+def test_junk_is_not_compared_with_junk(spark):
+    junk = [
+        "id,name,size\n1,tree,40\n2,heap,12", "| x | w |\n|---|---|\n| 3 | 9 |", "* segment tree\n* fenwick tree", "heap, stack, queue, graph",
+        "x\tw\t12\t7\nx\tv\t3\t9",
+    ]
+    polish = "Drzewo budujemy krok po kroku, bo każdy wierzchołek ma najwyżej dwoje dzieci. Potem czytamy wartości od lewej strony. " * 3
+    prose = [(" ".join([p] * k), g) for g, p in PROSE.items() if g != "de" for k in range(2, 9)]
+    # Junk alone in its declared language, without one, and in one that has no word list.
+    docs = [(t, g) for g in (None, "de", "pl") for t in junk]
+    got = flags(spark, prose + docs + [(polish, "pl"), (polish.replace(". ", ".\n"), "pl")])
+    n = len(prose)
+    assert [docs[k] for k in range(len(docs)) if not got[n + k].flagged] == []
+    assert not any(got[k].flagged for k in [*range(n), n + len(docs), n + len(docs) + 1])
+    alone = flags(spark, docs)
+    assert all(r.flagged and r.pct_common_share is None and r.z_common_share is None for r in alone.values())
+
+
 def test_empty_table(spark):
     assert flags(spark, []) == {}

@@ -1,8 +1,9 @@
 """Per-document text statistics that tell running text from lists, tables and junk.
 
-Method: every statistic gets a mergeable quantile sketch (KLL) per language;
-values become percentiles and robust z-scores against their language's
-sketch, and documents in the tail of too few common words are flagged.
+Method: every statistic gets a mergeable quantile sketch (KLL) per language
+detected by its words; values become percentiles and robust z-scores against
+their language's sketch, those of undetected texts against the merged sketch,
+and documents in the tail of too few common words are flagged.
 """
 
 from __future__ import annotations
@@ -37,16 +38,20 @@ STATISTICS = (
 LINE_COMMON = 0.18
 #: Items of up to this many words, and unpunctuated lines of fewer, are no sentences.
 ITEM_WORDS, SENTENCE_WORDS = 8, 6
+#: Without a word list for the language, a line with more separators a word is a table row or keywords.
+SEPARATORS_A_WORD = 1 / 3
 
 
 def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(doc_id, lang, STATISTICS...) of each row's whole text.
+    """(doc_id, lang, detected, STATISTICS...) of each row's whole text.
 
     A null or blank text has zero words, null statistics and its declared
     language. ``lang`` is the language whose common words prevail if they
-    make a tenth of the text, else the declared one in lower case, else
-    ``und``. Lines end at a line feed; blank lines don't count. Repeated rows
-    give repeated rows.
+    make a tenth of the text (``detected``), else the declared one in lower
+    case, else ``und``. An undetected text declared in a language without a
+    word list has its running text judged by the form of its lines alone.
+    Lines end at a line feed; blank lines don't count. Repeated rows give
+    repeated rows.
     """
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.lower(F.btrim(F.col(lang))).alias("_lang"), F.col(text).alias("_text"))
@@ -57,6 +62,7 @@ def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for w in COMMON_WORDS[code].split():
             bit[w] = bit.get(w, 0) | 1 << k
     item_mark, line_common, item_words, sentence_words = ITEM_MARK, LINE_COMMON, ITEM_WORDS, SENTENCE_WORDS
+    most_separators = SEPARATORS_A_WORD
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         word = re.compile(r"[^\W\d_]+|\d+")
@@ -65,7 +71,7 @@ def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
         def one(t: str | None, declared: str | None) -> tuple:
             lines = [x for x in (t or "").split("\n") if x.strip()]
-            n = letters = digits = ends = chars = prose = common = 0
+            n = letters = digits = ends = chars = prose = formed = common = 0
             seen: set[str] = set()
             votes = [0] * len(codes)
             for line in lines:
@@ -83,8 +89,11 @@ def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 m = len(words)
                 marked = m <= item_words and item.match(line)
                 sentence = m >= sentence_words or (m >= 2 and line.rstrip()[-1:] in ".!?…")
-                if m and not marked and sentence and best >= line_common * m:
-                    prose += size
+                if m and not marked and sentence:
+                    if best >= line_common * m:
+                        prose += size
+                    if sum(map(line.count, "|;,\t")) <= most_separators * m:
+                        formed += size
                 n += m
                 chars += size
                 common += best
@@ -95,29 +104,32 @@ def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 letters += sum(map(len, words)) - d
                 votes = [a + b for a, b in zip(votes, own)]
             top = max(langs, key=lambda k: votes[k])
-            code = codes[top] if n and votes[top] * 10 >= n else declared or "und"
+            detected = n > 0 and votes[top] * 10 >= n
+            code = codes[top] if detected else declared or "und"
             if not chars:
-                return (declared or "und", 0, None, None, None, None, None, None, None, None)
+                return (declared or "und", False, 0, None, None, None, None, None, None, None, None)
+            if not detected and declared and declared not in (*codes, "und"):
+                prose = formed
             return (
-                code, n, (letters + digits) / n if n else 0.0, (chars - letters - digits) / chars, digits / chars,
+                code, detected, n, (letters + digits) / n if n else 0.0, (chars - letters - digits) / chars, digits / chars,
                 ends / len(lines), n / len(lines), len(seen) / n if n else 0.0, common / n if n else 0.0, prose / chars,
             )
 
         for b in batches:
             declared = [x if isinstance(x, str) and x else None for x in b["_lang"]]
             out = [one(t, d) for t, d in zip(b["_text"], declared)]
-            frame = pd.DataFrame(out, columns=["lang", *STATISTICS])
+            frame = pd.DataFrame(out, columns=["lang", "detected", *STATISTICS])
             frame["n_words"] = frame["n_words"].astype("int64")
             frame.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield frame
 
-    schema = f"doc_id {id_type}, lang string, n_words bigint, " + ", ".join(f"{s} double" for s in STATISTICS[1:])
+    schema = f"doc_id {id_type}, lang string, detected boolean, n_words bigint, " + ", ".join(f"{s} double" for s in STATISTICS[1:])
     return rows.mapInPandas(measure, schema)
 
 
 def language_sketches(stats: DataFrame) -> DataFrame:
-    """(lang, n, one KLL sketch per statistic) over the rows with text; sketches of parts can be merged."""
-    return stats.where(F.col("symbol_ratio").isNotNull()).groupBy("lang").agg(
+    """(lang, n, one KLL sketch per statistic) over the rows whose language was detected; sketches of parts can be merged."""
+    return stats.where("detected").groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.kll_sketch_agg_double(F.col(s).cast("double")).alias(f"sk_{s}") for s in STATISTICS])
 
@@ -125,31 +137,42 @@ def language_sketches(stats: DataFrame) -> DataFrame:
 def quality(stats: DataFrame, tail: float = 0.5, near_tail: float = 0.65) -> DataFrame:
     """The statistics with ``pct_*`` (percentile in the language), ``z_*`` (robust z) and ``flagged``.
 
-    z is the distance from the median in units of the interquartile range over
-    1.349 (0 where that range is 0 and the value is the median). A document is
-    flagged if its share of common words lies in the low tail: below ``tail``
-    times what the upper fifth of its language's documents reach, or below
-    ``near_tail`` times that while less than half of its characters are in
-    lines of running text (narrowly wrapped prose has short lines, but many
-    common words). Rows without text have null in all of these and are not
-    flagged.
+    The reference of a text is its language's detected texts; that of an
+    undetected one is the detected texts of all languages together, so junk
+    is never compared with junk. z is the distance from the median in units
+    of the interquartile range over 1.349 (0 where that range is 0 and the
+    value is the median). A document is flagged if its share of common words
+    lies in the low tail: below ``tail`` times what the upper fifth of its
+    reference reaches, or below ``near_tail`` times that while less than half
+    of its characters are in lines of running text (narrowly wrapped prose has
+    short lines, but many common words). Undetected texts are flagged too
+    where no text was detected, as they have too few common words for running
+    text; those declared in a language without a word list only if less than
+    half of their characters are in lines of running text. Rows without text
+    have null in all of these and are not flagged; without a reference
+    ``pct_*`` and ``z_*`` are null.
     """
     sketches = language_sketches(stats)
     points = F.array(*[F.lit(k / 100) for k in range(101)])
-    # As many rows as there are languages in the data.
-    ref = sketches.select("lang", *[
+    quantiles = lambda df: df.select("_ref", *[
         F.kll_sketch_get_quantile_double(f"sk_{s}", points).alias(f"q_{s}") for s in STATISTICS])
+    merged = sketches.groupBy(F.lit("").alias("_ref")).agg(
+        *[F.kll_merge_agg_double(f"sk_{s}").alias(f"sk_{s}") for s in STATISTICS])
+    # As many rows as there are word lists, and one.
+    ref = quantiles(sketches.withColumnRenamed("lang", "_ref")).unionByName(quantiles(merged))
     at = lambda s, k: F.element_at(f"q_{s}", k + 1)
-    joined = stats.join(ref, "lang", "left")
+    joined = stats.withColumn("_ref", F.when(F.col("detected"), F.col("lang")).otherwise("")).join(ref, "_ref", "left")
     has = F.col("symbol_ratio").isNotNull()
     below = lambda s: F.size(F.filter(f"q_{s}", lambda e: e <= F.col(s)))
-    pct = {f"pct_{s}": F.when(has, F.greatest(below(s) - 1, F.lit(0)) / 100) for s in STATISTICS}
+    pct = {f"pct_{s}": F.when(has & F.col(f"q_{s}").isNotNull(), F.greatest(below(s) - 1, F.lit(0)) / 100) for s in STATISTICS}
     z = {}
     for s in STATISTICS:
         spread = (at(s, 75) - at(s, 25)) / 1.349
         off = F.col(s) - at(s, 50)
-        z[f"z_{s}"] = F.when(has, F.when(off == 0, 0.0).otherwise(off / F.greatest(spread, F.lit(1e-6))))
+        z[f"z_{s}"] = F.when(has & off.isNotNull(), F.when(off == 0, 0.0).otherwise(off / F.greatest(spread, F.lit(1e-6))))
     low = lambda share: F.col("common_share") < F.lit(share) * at("common_share", 80)
-    flagged = has & F.coalesce(low(tail) | (low(near_tail) & (F.col("prose_share") < 0.5)), F.lit(False))
+    unlisted = ~F.col("detected") & ~F.col("lang").isin(*COMMON_WORDS, "und")
+    tails = F.coalesce(low(tail) | (low(near_tail) & (F.col("prose_share") < 0.5)), ~F.col("detected"))
+    flagged = has & F.when(unlisted, F.col("prose_share") < 0.5).otherwise(tails)
     return joined.withColumns({**pct, **z, "flagged": flagged}).select(
         "doc_id", "lang", *STATISTICS, *pct, *z, "flagged")
