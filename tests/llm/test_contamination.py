@@ -4,6 +4,7 @@ import numpy as np
 
 from trellisq.llm import contamination as C
 
+DIR = "/root/testdata/sf0.01"
 NOUNS = "anvil kettle spindle lantern pebble feather saddle hammer gourd trumpet ribbon crate".split()
 ADJ = "rusty velvet amber hollow twin brittle silver frosted".split()
 ROLES = "mason cooper potter weaver tinker keeper miller".split()
@@ -57,6 +58,28 @@ def test_leaks_found_and_siblings_left(spark):
     assert len({(r.doc_id, r.item_id) for r in blocks} & want) >= 0.95 * len(want)
 
 
+def test_planted_passages_against_an_exact_search(spark):
+    rng = random.Random(4)
+    texts = [r.text for r in spark.read.parquet(f"{DIR}/benchmark.parquet").orderBy("item_id").collect()]
+    around = [C.words_of(r.text) for r in spark.read.parquet(f"{DIR}/documents.parquet").where("length(text) > 200").orderBy("doc_id").collect()]
+    around = [w for w in around if len(w) >= 30]
+    words, distinct = C._prepare(texts, C.item_frames(texts))[:2]
+    docs, want = [], {0.0: set(), 0.15: set()}
+    for d in range(320):
+        share, change = (0.4, 0.45, 0.5, 0.6)[d % 4], (0.0, 0.15)[d // 4 % 2]
+        k, host = rng.randrange(len(texts)), rng.choice(around)
+        n = -(-len(words[k]) * round(share * 100) // 100)
+        s, at = rng.randint(0, len(words[k]) - n), rng.randint(0, len(host))
+        part = [x if rng.random() >= change else rng.choice(host) for x in words[k][s:s + n]]
+        docs.append((d, " ".join(host[:at] + part + host[at:])))
+        if C.held_share(words[k], distinct[k], host[:at] + part + host[at:], C.Leaks()) >= 0.4:
+            want[change].add((d, k))
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id int, text string")
+    got = {(r.doc_id, r.item_id) for r in C.find_leaks(spark.createDataFrame(docs, "doc_id int, text string"), items).collect()}
+    assert len(want[0.0]) > 120 and want[0.0] <= got
+    assert len(want[0.15] & got) >= 0.99 * len(want[0.15])
+
+
 def test_basis_equals_a_plain_svd(spark):
     rng = random.Random(1)
     p = C.Leaks(hash_bits=8, rank=4, oversample=12)

@@ -2,14 +2,15 @@
 
 Method: latent semantic retrieval. Passages of all documents become TF-IDF
 vectors over hashed words; a distributed randomised SVD gives a latent space;
-passages whose cosine with a passage of an item is high make the document a
-candidate for the item. Candidates are aligned with the item by longest common
+documents with a window like one of an item, no longer than the shortest
+passage that counts, are candidates for the item. Candidates are aligned with the item by longest common
 subsequences of short windows; the words that tell the item from its siblings
 (fillers and numbers, the answer check) have to agree.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -30,11 +31,9 @@ class Leaks:
     rank: int = 64
     oversample: int = 16
     fit_words: int = 64
-    doc_words: int = 32
-    doc_step: int = 16
-    item_words: int = 24
-    item_step: int = 8
-    cosine: float = 0.6
+    least_window: int = 4
+    steps: int = 4
+    cosine: float = 0.2
     items_per_block: int = 5000
     window: int = 10
     window_matches: int = 7
@@ -89,6 +88,27 @@ def _vectors(ids: list[np.ndarray], idf: np.ndarray, basis: np.ndarray) -> tuple
     return out, rows
 
 
+def _window_words(n: int, p: Leaks) -> int:
+    """The window for items of n words: the largest power of two within the shortest passage that counts."""
+    shortest = max(math.ceil(p.min_share * n), p.least_window)
+    return 1 << (shortest.bit_length() - 1)
+
+
+def _latent(ids: np.ndarray, size: int, p: Leaks, terms: np.ndarray, rows: int) -> Iterator[np.ndarray]:
+    """L2-normalised latent rows of the windows of a text in pieces of up to ``rows``; terms is idf times basis.
+
+    Rows are differences of running sums, with words weighted by their count.
+    """
+    spans = np.array(_spans(len(ids), size, max(1, size // p.steps)), dtype=np.int64).reshape(-1, 2)
+    for at in range(0, len(spans), rows):
+        part = spans[at:at + rows]
+        low = part[0, 0]
+        sums = np.zeros((part[-1, 1] - low + 1, terms.shape[1]))
+        np.cumsum(terms[ids[low:part[-1, 1]]], axis=0, dtype=np.float64, out=sums[1:])
+        v = sums[part[:, 1] - low] - sums[part[:, 0] - low]
+        yield (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
 def document_frequencies(docs: DataFrame, p: Leaks) -> tuple[np.ndarray, int]:
     """Of each hashed word the number of passages of all documents that hold it, and the number of passages."""
 
@@ -307,38 +327,35 @@ def find_leaks(docs: DataFrame, items: DataFrame, p: Leaks = Leaks()) -> DataFra
 def _search_block(docs, ids, texts, idf, basis, schema, p: Leaks) -> DataFrame:
     item_words, distinct, rare = _prepare(texts, item_frames(texts))
     hasher = _Hasher(p.hash_bits)
-    owner, passages = [], []
+    terms = idf[:, None] * basis
+    # Of each window length the items, the rows of their windows, and where an item's rows begin.
+    by_size: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
     for k, w in enumerate(item_words):
-        x = hasher(w)
-        for s, e in _spans(len(x), p.item_words, p.item_step):
-            owner.append(k)
-            passages.append(x[s:e])
-    queries, _ = _vectors(passages, idf, basis)
-    queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
-    shared = docs.sparkSession.sparkContext.broadcast(
-        (idf, basis, queries, np.array(owner, dtype=np.int64), ids, item_words, distinct, rare))
+        if w:
+            of, rows = by_size[_window_words(len(w), p)]
+            of.append(k)
+            rows.append(np.vstack(list(_latent(hasher(w), _window_words(len(w), p), p, terms, 4096))))
+    queries = [
+        (size, np.array(of), np.vstack(rows), np.cumsum([0] + [len(r) for r in rows[:-1]]))
+        for size, (of, rows) in sorted(by_size.items())]
+    shared = docs.sparkSession.sparkContext.broadcast((terms, queries, ids, item_words, distinct, rare))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own_idf, own_basis, q, own, own_ids, own_words, own_distinct, own_rare = shared.value
+        own_terms, q, own_ids, own_words, own_distinct, own_rare = shared.value
         own_hasher = _Hasher(p.hash_bits)
         for b in batches:
             all_words = [words_of(t) for t in b["text"]]
-            spans, of = [], []
-            for d, w in enumerate(all_words):
-                x = own_hasher(w)
-                for s, e in _spans(len(x), p.doc_words, p.doc_step):
-                    spans.append(x[s:e])
-                    of.append(d)
             rows = []
             best: dict[tuple[int, int], float] = {}
-            for at in range(0, len(spans), 2048):  # bounds the memory of the product
-                v, _ = _vectors(spans[at:at + 2048], own_idf, own_basis)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-                cos = v @ q.T if len(q) else np.zeros((len(v), 0))
-                for x, y in zip(*np.nonzero(cos >= p.cosine)):
-                    key = (of[at + x], int(own[y]))
-                    if cos[x, y] > best.get(key, 0.0):
-                        best[key] = float(cos[x, y])
+            for d, w in enumerate(all_words):
+                x = own_hasher(w)
+                for size, of, vectors, begins in q:
+                    top = np.zeros(len(of), dtype=np.float32)
+                    # Up to 4M cosines at a time.
+                    for v in _latent(x, size, p, own_terms, max(16, (1 << 22) // len(vectors))):
+                        np.maximum(top, np.maximum.reduceat((v @ vectors.T).max(axis=0), begins), out=top)
+                    for k in np.flatnonzero(top >= p.cosine):
+                        best[d, int(of[k])] = float(top[k])
             triples: dict[int, set] = {}
             for (d, k), c in best.items():
                 w = all_words[d]
