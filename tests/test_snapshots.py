@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from trellisq.operators.snapshots import snapshot_changes
+from trellisq.operators.snapshots import discard_report, snapshot_changes
 
 SCHEMA = "snap int, k1 int, k2 string, loaded int, v int, tags array<string>"
 
@@ -59,3 +59,14 @@ def test_empty_single_and_extra_columns(spark):
     assert run(spark, [(1, 1, "A", 1, 1, [])]) == []
     rows = [(1, 1, "A", 1, 1, [], "c"), (2, 1, "B", 1, 1, [], "d")]
     assert run(spark, rows, SCHEMA + ", chunk string") == [(2, 1, "A", "removed"), (2, 1, "B", "added")]
+
+
+def test_most_rows_are_discarded_by_their_digests(spark):
+    rng = random.Random(6)
+    rows = [(s, a, "A", 1, a if s == 1 or rng.random() > 0.01 else -1, ["x"]) for s in (1, 2) for a in range(5000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    r = discard_report(df, "snap", ["k1", "k2"], "loaded", {"v": F.col("v"), "t": F.col("tags")}).first()
+    assert r.n_rows == 10_000 and r.discarded_share > 0.9
+    assert run(spark, rows) == brute(rows)
+    none = discard_report(df.limit(0), "snap", ["k1", "k2"], "loaded", {"v": F.col("v")}).first()
+    assert tuple(none) == (0, 0, None)

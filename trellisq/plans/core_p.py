@@ -36,13 +36,19 @@ def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.descendants(labelled_topics(spark, sf_dir)).select(
-        F.col("ancestor").alias("slug"), F.col("node").alias("descendant"), "distance")
+        F.col("node").alias("slug"), F.col("root").alias("root_slug"), "place", F.col("first").alias("first_place"),
+        F.col("last").alias("last_place"))
 
 
 def p4_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The links whose child has no root, because it is on a circle or runs into one."""
-    t = labelled_topics(spark, sf_dir).where(F.col("root") == H.NO_ROOT)
-    return t.select(F.col("node").alias("slug"), F.col("parent").alias("parent_slug"))
+    """The links that run in a circle, each with the smallest slug of its circle."""
+    return H.circles(*topic_links(spark, sf_dir)).where("on_circle").select(
+        F.col("node").alias("slug"), F.col("parent").alias("parent_slug"), "circle")
+
+
+def p4_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slugs whose chain of parents runs into a circle without lying on it."""
+    return H.circles(*topic_links(spark, sf_dir)).where("NOT on_circle").select(F.col("node").alias("slug"), "circle")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,16 +92,45 @@ UNION ALL
 SELECT slug, '-', CAST(-1 AS BIGINT), NULL FROM nodes WHERE slug NOT IN (SELECT slug FROM walk)
 """,
     "p4_descendants": _LINKS + """
-, below AS (
-  SELECT walk.slug, up.child AS descendant, CAST(1 AS BIGINT) AS distance FROM walk JOIN up ON up.parent = walk.slug
+, above AS (
+  SELECT slug, slug AS anc FROM walk
+  UNION ALL
+  SELECT above.slug, up.parent FROM above JOIN up ON up.child = above.anc
+), sizes AS (SELECT anc AS slug, count(*) AS size FROM above GROUP BY anc),
+heavy AS (
+  SELECT up.child, row_number() OVER (PARTITION BY up.parent ORDER BY size DESC, up.child) = 1 AS is_heavy, up.parent
+  FROM up JOIN sizes ON sizes.slug = up.child
+), turn AS (
+  SELECT child, parent, row_number() OVER (PARTITION BY parent ORDER BY is_heavy DESC, md5(child), child) AS nth FROM heavy
+), visit AS (
+  SELECT slug, slug AS root_slug, [CAST(0 AS BIGINT)] AS way FROM walk WHERE depth = 0
   UNION ALL
-  SELECT below.slug, up.child, below.distance + 1 FROM below JOIN up ON up.parent = below.descendant
+  SELECT turn.child, visit.root_slug, list_append(visit.way, turn.nth) FROM visit JOIN turn ON turn.parent = visit.slug
+), placed AS (
+  SELECT slug, root_slug, row_number() OVER (PARTITION BY root_slug ORDER BY way) - 1 AS place FROM visit
 )
-SELECT slug, descendant, distance FROM below
+SELECT slug, root_slug, place, CASE WHEN size > 1 THEN place + 1 END AS first_place, CASE WHEN size > 1 THEN place + size - 1 END AS last_place
+FROM placed JOIN sizes USING (slug)
+UNION ALL
+SELECT slug, '-', NULL, NULL, NULL FROM nodes WHERE slug NOT IN (SELECT slug FROM walk)
 """,
     "p4_circles": _LINKS + """
-SELECT n.slug, up.parent AS parent_slug FROM nodes n JOIN up ON up.child = n.slug
-WHERE n.slug NOT IN (SELECT slug FROM walk)
+, reach AS (
+  SELECT child AS slug, parent AS via FROM up WHERE child NOT IN (SELECT slug FROM walk)
+  UNION
+  SELECT reach.slug, up.parent FROM reach JOIN up ON up.child = reach.via
+)
+SELECT r.slug, min(up.parent) AS parent_slug, min(r.via) AS circle FROM reach r JOIN up ON up.child = r.slug
+GROUP BY r.slug HAVING bool_or(r.via = r.slug)
+""",
+    "p4_tails": _LINKS + """
+, reach AS (
+  SELECT child AS slug, parent AS via FROM up WHERE child NOT IN (SELECT slug FROM walk)
+  UNION
+  SELECT reach.slug, up.parent FROM reach JOIN up ON up.child = reach.via
+), members AS (SELECT slug FROM reach WHERE slug = via)
+SELECT slug, min(via) FILTER (via IN (SELECT slug FROM members)) AS circle FROM reach
+WHERE slug NOT IN (SELECT slug FROM members) GROUP BY slug
 """,
     "p5_found": """
 WITH held AS (
@@ -120,5 +155,6 @@ QUERIES = {
     "p4_paths": p4_paths,
     "p4_descendants": p4_descendants,
     "p4_circles": p4_circles,
+    "p4_tails": p4_tails,
     "p5_found": p5_found,
 }

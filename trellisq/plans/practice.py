@@ -409,8 +409,10 @@ def _edges(s, d):
 
 
 @query
-def q_graph_prereq_closure(s, d):
-    return H.descendants(H.hierarchy(_edges(s, d))).select(F.col("ancestor").alias("from_slug"), F.col("node").alias("to_slug"), "distance")
+def q_graph_subtrees(s, d):
+    """Each topic's descendants over prereq edges as an interval of places in its tree."""
+    return H.descendants(H.hierarchy(_edges(s, d))).select(
+        F.col("node").alias("slug"), F.col("root").alias("root_slug"), (F.coalesce(F.col("last") - F.col("first") + 1, F.lit(0))).alias("n_below"))
 
 
 @query

@@ -259,8 +259,10 @@ SQL = {
     "q_html_items": _with("s p", """SELECT user_id, contest_id, catalog_pos AS task_id, ok AS solved FROM (SELECT user_id, contest_id, idx, bool_or(ok) AS ok FROM s GROUP BY ALL) JOIN p USING (contest_id, idx)"""),
     "q_html_markers": _with("u", "SELECT user_id, rating IS NULL AS logged_out FROM u"),
     "q_cache_freshness": "SELECT event_id, event_type IN ('error', 'signup') OR epoch(m) - epoch(date_trunc('second', ts)) < 21600 AS fresh FROM events, (SELECT date_trunc('second', max(ts)) AS m FROM events)",
-    "q_graph_prereq_closure": _EDGES + """, d AS (SELECT parent AS from_slug, child AS to_slug, CAST(1 AS BIGINT) AS distance FROM e UNION ALL SELECT d.from_slug, e.child, d.distance + 1 FROM d JOIN e ON e.parent = d.to_slug WHERE d.distance < 1000)
-      SELECT * FROM d WHERE from_slug IN (SELECT slug FROM w)""",
+    "q_graph_subtrees": _EDGES + """, d AS (SELECT slug, slug AS root, CAST(0 AS BIGINT) AS distance FROM w UNION ALL SELECT e.child, d.root, d.distance + 1 FROM d JOIN e ON e.parent = d.slug),
+      top AS (SELECT d.slug, d.root FROM d WHERE d.root NOT IN (SELECT child FROM e))
+      SELECT w.slug, top.root AS root_slug, (SELECT count(*) FROM d WHERE d.root = w.slug AND distance > 0) AS n_below FROM w JOIN top USING (slug)
+      UNION ALL SELECT slug, '-', 0 FROM n WHERE slug NOT IN (SELECT slug FROM w)""",
     "q_graph_depth": _EDGES + " SELECT slug, depth FROM w UNION ALL SELECT slug, CAST(-1 AS BIGINT) FROM n WHERE slug NOT IN (SELECT slug FROM w)",
     "q_stream_daily_activity": _with("act", "SELECT user_id, date, count(*) AS attempted, count(*) FILTER (ok) AS solved FROM act GROUP BY ALL"),
     "q_stream_contest_solved": _with("solved p", "SELECT * FROM solved SEMI JOIN p USING (contest_id, idx)"),
