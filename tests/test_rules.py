@@ -12,6 +12,7 @@ from trellisq.operators import knowledge as K
 from trellisq.operators import markup as M
 from trellisq.operators import progress as G
 from trellisq.operators import recommend as R
+from trellisq.sources import domain as D
 from trellisq.operators import topics as T
 from trellisq.sources import api
 from trellisq.sources.domain import target_rating
@@ -68,6 +69,32 @@ def test_diversity_fills_up_with_unseen_urls(spark):
     assert got == greedy([("g", f"u{k // 2}") for k in range(8)], 8, True)
 
 
+@pytest.mark.parametrize("half", [True, False])
+def test_diversity_with_many_repeated_urls_equals_greedy(spark, half):
+    rng = random.Random(12)
+    cases = [[(f"g{rng.randrange(rng.choice([1, 3]))}", f"u{rng.randrange(rng.choice([1, 2, 15]))}") for _ in range(rng.randint(0, 60))] for _ in range(80)]
+    cases.append([("g", "same")] * 8 + [("g", f"own{k}") for k in range(12)])
+    rows = [(u, k, g, url, 1000.0 - k) for u, c in enumerate(cases) for k, (g, url) in enumerate(c)]
+    df = spark.createDataFrame(rows, "user_id int, k int, g string, url string, score double").repartition(5)
+    for count in (2, 8):
+        got = {}
+        for r in R.diversified(df, count, "g", [F.desc("score")], half, "url").orderBy("user_id", "pos").collect():
+            got.setdefault(r.user_id, []).append(r.k)
+        for u, c in enumerate(cases):
+            assert got.get(u, []) == greedy(c, count, half)
+
+
+def test_recommendation_does_not_depend_on_the_blocks(spark):
+    d = "/root/testdata/sf0.001"
+    users, subs = D.users(spark, d), D.submissions(spark, d)
+    # Few urls, so that they repeat inside and across blocks.
+    problems = D.problems(spark, d).withColumn("url", F.concat(F.lit("u"), F.pmod(F.col("catalog_pos"), F.lit(13)).cast("string")))
+    for mode in ("balanced", "explore", "grind"):
+        whole, parts = (
+            sorted(map(tuple, R.recommend(users, subs, problems, mode, block_rows=n).collect())) for n in (1_000_000, 40))
+        assert whole == parts and whole
+
+
 def test_quotas():
     assert [R.quotas(n, True) for n in (0, 1, 4, 8)] == [(0, 0), (1, 0), (3, 1), (6, 2)]
     assert R.quotas(8, False) == (8, 0)

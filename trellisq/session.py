@@ -60,6 +60,29 @@ def cut_round(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.createDataFrame(kept.toJavaRDD(), kept.schema()), spark)
 
 
+def stored_blocks(df: DataFrame, by: list[str], n_blocks: int, kind: str) -> str:
+    """Writes ``df`` in blocks by the hash of ``by`` into the shared folder, where any task may read one with ``read_block``."""
+    path = scratch_path(df.sparkSession, kind)
+    block = F.pmod(F.xxhash64(*by), F.lit(n_blocks))
+    df.withColumn("_block", block).repartition(n_blocks, "_block").write.partitionBy("_block").parquet(path)
+    p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def read_block(path: str, block: int):
+    """One block as an Arrow table, or None if it is empty; runs on the executors."""
+    from pyarrow import dataset, fs
+
+    if path.startswith("file:"):
+        system, root = fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    else:
+        system, root = fs.FileSystem.from_uri(path)
+    place = f"{root}/_block={block}"
+    if system.get_file_info(place).type == fs.FileType.NotFound:
+        return None
+    return dataset.dataset(place, filesystem=system, format="parquet").to_table()
+
+
 def clean_up() -> None:
     """Removes the intermediate files that this process has written; results must have been read by then.
 
