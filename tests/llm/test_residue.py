@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from trellisq.llm import residue
 from trellisq.llm.queries import _COMMON
@@ -54,9 +57,36 @@ def test_odd_rows(spark):
     assert found(spark, [("Coming soon.", False)] * 3) == {0, 1, 2}
 
 
-@pytest.mark.parametrize("rows", [2, 20_000])
-def test_templates_do_not_depend_on_the_parts(spark, rows, monkeypatch):
-    monkeypatch.setattr(residue, "LEAF_ROWS", rows)
-    df = spark.createDataFrame([(f"the job number # failed on host {h} after # tries",) for h in "abcdefgh"] + [("another line",)], "message string")
-    got = {r.message: r.template for r in residue.mine_templates(df).collect()}
-    assert len(got) == 9 and {t for m, t in got.items() if m != "another line"} == {"the job number # failed on host <*> after # tries"}
+NOTICES = [f"the job number {7 * k} was given up by worker {h} behind the counter" for k, h in enumerate("adams baker clark davis evans frank ghosh hills".split())]
+
+
+def many(spark, frame=lambda df: df):
+    """Notices that no wording list knows, each once, among real values that share their sentences."""
+    rows = [(k, "description", n, False, f"t{k}", 1) for k, n in enumerate(NOTICES)]
+    rng = random.Random(1)
+    frames = ["The heap of the {} is empty.", "We sort the {} and then we stop.", "It is read once by the {}.", "After that the {} moves to the left.",
+              "Every {} has at most two parts.", "The last {} is never looked at.", "For the {} this takes linear time.", "Both sides of the {} agree."]
+    words = "tree list queue graph grid path".split()
+    rows += [(100 + k, "description", " ".join(f.format(rng.choice(words)) for f in rng.sample(frames, 3)), False, f"u{k}", 1) for k in range(40)]
+    # A notice inside real content, and one real value stored for one topic several times.
+    rows.append((200, "description", f"We sort the list and then we stop. It is read once by the tree. {NOTICES[3]}", False, "v", 1))
+    rows += [(300 + k, "description", "A lone remark about the borders of a segment", False, "w", 1) for k in range(4)]
+    df = frame(spark.createDataFrame(rows, SCHEMA.replace("kind string", "topic string")))
+    return {r.entry_id for r in residue.find_residue(df, _COMMON).collect()}
+
+
+def test_unlisted_notices_are_found_by_their_templates(spark, monkeypatch):
+    want = {*range(len(NOTICES)), 200}
+    assert many(spark) == want
+    assert many(spark, lambda df: df.repartition(7)) == want
+    # Without mining every notice is a template of its own, seen once or twice.
+    monkeypatch.setattr(residue, "mine_templates", lambda m: m.select("message", F.col("message").alias("template")).distinct())
+    assert len(many(spark)) < len(NOTICES) / 2
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_templates_depend_neither_on_order_nor_on_parts(spark, parts):
+    df = spark.createDataFrame([(f"the job number # failed on host {h} after # tries",) for h in "abcdefgh"] + [("another line",), ("another page",)], "message string")
+    got = {r.message: r.template for r in residue.mine_templates(df.repartition(parts)).collect()}
+    assert len(got) == 10 and {t for m, t in got.items() if not m.startswith("another")} == {"the job number # failed on host <*> after # tries"}
+    assert got["another line"] == "another line"

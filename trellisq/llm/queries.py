@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellisq.functions.normalize import tag_set
+from trellisq.functions.normalize import slug_key, tag_set
 from trellisq.llm import contamination, cooccurrence, mixing, quality, residue, truncation
 from trellisq.session import cut_lineage
 from trellisq.sources.tables import current_problems, table
@@ -17,13 +17,13 @@ _COMMON = r"(?<![\p{L}])(?:" + "|".join(
 
 
 def db_values(spark: SparkSession, sf_dir: str, fields: dict[str, str | None]) -> DataFrame:
-    """(entry_id, field, value, is_code, source) of the given db fields; each names its model column."""
+    """(entry_id, topic, field, value, is_code, source) of the given db fields; each names its model column."""
     db = table(spark, sf_dir, "db")
     rows = F.explode(F.array(*[
         F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), F.lit(f == "cpp").alias("is_code"),
                  (F.col(m) if m else F.lit(None).cast("string")).alias("source"))
         for f, m in fields.items()]))
-    return db.select("entry_id", rows.alias("r")).select("entry_id", "r.*")
+    return db.select("entry_id", slug_key(F.col("slug")).alias("topic"), rows.alias("r")).select("entry_id", "topic", "r.*")
 
 
 def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:

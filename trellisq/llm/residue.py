@@ -2,21 +2,21 @@
 
 Method: values are split into messages (sentences, comments, markup text),
 numbers are masked, and distinct messages are mined into templates with a
-fixed-depth prefix tree (token count, then the first tokens) whose leaves
-cluster by token similarity. Every template is classified once and the
-verdict holds for all its messages. Unresolved slots inside ordinary values
-are found by their syntax.
+fixed-depth prefix tree (token count, then the first tokens) whose leaves mask
+the positions where no token prevails. A template is judged once, by how it is
+used: what stands alone in the values of several topics, or always with the
+same company, is no content; the verdict holds for all its messages wherever
+they stand. Wording that only notices have is the lesser signal, for messages
+too rare to be judged by their use. Unresolved slots inside ordinary values are
+found by their syntax.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellisq.session import broadcast_if_small, cut_lineage
+from trellisq.session import cut_lineage, look_up
 
 #: Fixed value: what the generator stores where it failed.
 SENTINEL = "GENERATION_FAILED"
@@ -38,11 +38,6 @@ RESIDUE_WORDING = [
     r"^fill in$", r"^(?:tbd|tbc|todo|fixme|n/a)$", r"^todo: insert", r"insert the [a-z ]+ here$",
     r"undefined variable \$", r"\bin template on line #", r"\bgenerated from template\b", r"image placeholder",
 ]
-# Terms that make a message suspicious if it mostly stands alone.
-SUSPECT_TERMS = (
-    r"javascript|\bscripts?\b|\bcookies?\b|\bbrowser\b|\breload\b|\bserver\b|\bgateway\b|\berror\b|\berreur\b|\bfehler\b"
-    r"|\bdenied\b|\bforbidden\b|\bexpired\b|\bblocked\b|\bloaded\b|\bplaceholder\b|\bseite\b|\bpágina\b"
-)
 # Syntax of unresolved slots in text and code.
 _STD_MACROS = "FILE|LINE|FUNCTION|DATE|TIME|COUNTER|VERSION"
 _ATTRIBUTES = "nodiscard|maybe_unused|likely|unlikely|fallthrough|noreturn|deprecated|no_unique_address|carries_dependency|assume"
@@ -66,13 +61,15 @@ SLOTS = [
 ]
 TEXT_SLOTS = [r"(?<![\\\w^}{])\{[A-Za-z][a-z]{2,}\}", r"<<[a-z]+>>"]
 CODE_SLOTS = [r"(?://|/\*)[^\n]*(?<![\\\w^}{])\{[A-Za-z][a-z]{2,}\}"]
-#: A value of at most so many messages counts as one that consists of them.
-ALONE_MESSAGES = 2
-#: Distinct messages of one leaf that are clustered together; fuller leaves are split and their templates merged.
-LEAF_ROWS = 20_000
-#: Beyond this many distinct residue messages they are joined by a shuffle.
-MAX_BROADCAST_MESSAGES = 50_000
-TREE_DEPTH, SIMILARITY = 2, 0.6
+#: Tokens that name a leaf of the prefix tree, beside the token count; and the share of the leaf's messages that have a
+#: token in its place from which it is part of the template.
+TREE_DEPTH, KEPT_SHARE = 2, 0.25
+#: Values of up to so many templates and messages (a page repeats its title) may be notices as a whole.
+NOTICE_TEMPLATES, NOTICE_MESSAGES = 4, 8
+#: Shares of a template's topics: where it stands alone, and where it stands alone or with its usual company.
+ALONE_SHARE, COMPANY_SHARE = 0.2, 0.8
+#: A single topic is no evidence: its rows may be repeats.
+LEAST_TOPICS = 2
 
 
 def _messages(value: Column, is_code: Column) -> Column:
@@ -92,101 +89,68 @@ def _messages(value: Column, is_code: Column) -> Column:
     return F.filter(clean, lambda x: x.rlike(r"\w"))
 
 
-def _cluster(messages: list[str]) -> list[str]:
-    """The template of each message of one leaf: a message joins the template that shares most of its tokens."""
-    templates: list[list[str]] = []
-    chosen = []
-    for m in messages:
-        toks = m.split(" ")
-        best, at = 0.0, -1
-        for k, t in enumerate(templates):
-            s = sum(a == b for a, b in zip(t, toks)) / len(toks)
-            if s > best:
-                best, at = s, k
-        if best >= SIMILARITY:
-            templates[at] = [a if a == b else "<*>" for a, b in zip(templates[at], toks)]
-        else:
-            templates.append(toks)
-            at = len(templates) - 1
-        chosen.append(at)
-    names = [" ".join(t) for t in templates]
-    return [names[k] for k in chosen]
-
-
-def _cluster_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(message, template) of rows that come sorted by leaf and part; one part of a leaf is held at a time."""
-    key, held = None, []
-    done_m: list[str] = []
-    done_t: list[str] = []
-    for b in batches:
-        for leaf, part, message in zip(b["leaf"], b["part"], b["message"]):
-            if (leaf, part) != key:
-                done_m += held
-                done_t += _cluster(held)
-                key, held = (leaf, part), []
-                if len(done_m) >= 10_000:
-                    yield pd.DataFrame({"message": done_m, "template": done_t})
-                    done_m, done_t = [], []
-            held.append(message)
-    yield pd.DataFrame({"message": done_m + held, "template": done_t + _cluster(held)})
-
-
-def _in_leaves(keyed: DataFrame) -> DataFrame:
-    placed = keyed.select("leaf", "part", "message").repartition("leaf", "part").sortWithinPartitions("leaf", "part", "message")
-    return placed.mapInPandas(_cluster_leaves, "message string, template string")
-
-
 def mine_templates(messages: DataFrame) -> DataFrame:
     """(message, template) for each distinct message.
 
     A fixed-depth prefix tree: leaves are named by the token count and the
-    first tokens. A leaf with many distinct messages is clustered in parts of
-    about LEAF_ROWS, then the templates of its parts are clustered again, so
-    no task holds an unbounded leaf.
+    first tokens. Behind these a token stays if at least KEPT_SHARE of the
+    leaf's messages have it in its place, else the place is a wildcard; so a
+    template depends neither on the order nor on the number of messages. All
+    counts are combined before they are shuffled, and a leaf keeps at most
+    1/KEPT_SHARE tokens for a place, however many messages it has.
     """
     toks = F.split("message", " ")
     leaf = F.concat_ws(" ", F.size(toks), F.slice(toks, 1, TREE_DEPTH))
     keyed = messages.select("message").distinct().withColumn("leaf", leaf)
-    sizes = keyed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / LEAF_ROWS).alias("parts"))
-    parted = keyed.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("message"), F.col("parts")))
-    first = _in_leaves(parted)
-    # The parts' templates are few; those of a leaf meet in one task.
-    second = _in_leaves(first.select(F.col("template").alias("message")).distinct().select(
-        "message", leaf.alias("leaf"), F.lit(0).cast("bigint").alias("part")))
-    merged = second.select(F.col("message").alias("template"), F.col("template").alias("merged"))
-    return first.join(merged, "template").select("message", F.col("merged").alias("template"))
-
-
-def classify_templates(stats: DataFrame) -> DataFrame:
-    """(template, kind): the templates that are residue.
-
-    stats: template, sample (one of its messages), n (uses), alone (uses in
-    values that consist of few messages), values (distinct values).
+    sizes = cut_lineage(keyed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")))
+    places = keyed.select("leaf", F.posexplode(toks).alias("pos", "tok")).where(F.col("pos") >= TREE_DEPTH)
+    counts = cut_lineage(places.groupBy("leaf", "pos", "tok").agg(F.count(F.lit(1)).alias("c")))
+    often = F.when(F.col("c") >= F.lit(KEPT_SHARE) * F.col("n"), F.col("tok"))
+    kept = look_up(counts, sizes, ["leaf"]).groupBy("leaf", "pos").agg(F.collect_list(often).alias("toks"))
+    masks = cut_lineage(kept.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("pos", "toks"))).alias("kept")))
+    found = look_up(cut_lineage(keyed), masks, ["leaf"])
+    masked = F.transform(toks, lambda t, i: F.when(i < TREE_DEPTH, t).when(
+        F.array_contains(F.get("kept", i - TREE_DEPTH)["toks"], t), t).otherwise("<*>"))
+    return found.select("message", F.array_join(masked, " ").alias("template"))
+
+
+def judged_templates(used: DataFrame) -> DataFrame:
+    """(template, n, alone, top, notice, closed) of the templates that are no content by their use.
+
+    used: entry_id, field, topic, template, k (templates of the value), small
+    (the value may be a notice as a whole). Counts are of topics. ``notice``: it
+    stands alone in at least two topics and in ALONE_SHARE of them. ``closed``:
+    that, or in COMPANY_SHARE of its topics it stands alone or in small values
+    with the template it meets most. All are shares, so they do not move with
+    the size of the table; repeats of one topic count once.
     """
-    wording = F.lit("|".join(f"(?:{w})" for w in RESIDUE_WORDING))
-    sample = F.col("sample")
-    repeated = sample.rlike(r"^(\w+)(?: \1){2,}\W*$")
-    alone = F.col("alone") / F.col("n")
-    kind = (
-        F.when(sample.contains(SENTINEL.lower()), "sentinel")
-        .when(F.regexp_like(sample, wording), "wording")
-        .when(repeated, "filler")
-        .when(sample.rlike(SUSPECT_TERMS) & (F.col("n") >= 5) & (alone >= 0.8), "suspect")
-        .when((F.col("n") >= 20) & (alone >= 0.9), "boilerplate")
-    )
-    return stats.withColumn("kind", kind).where(F.col("kind").isNotNull()).select("template", "kind")
+    per_topic = used.groupBy("template", "topic").agg(F.max((F.col("small") & (F.col("k") == 1)).cast("int")).alias("alone"))
+    n = per_topic.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.sum("alone").alias("alone"))
+    # At most NOTICE_TEMPLATES of a value.
+    groups = used.where(F.col("small") & (F.col("k") > 1)).groupBy("entry_id", "field", "topic").agg(F.collect_list("template").alias("ts"))
+    pairs = groups.select("topic", "ts", F.explode("ts").alias("template")).select(
+        "topic", "template", F.explode("ts").alias("other")).where(F.col("template") != F.col("other"))
+    top = pairs.distinct().groupBy("template", "other").agg(F.count(F.lit(1)).alias("c")).groupBy("template").agg(F.max("c").alias("top"))
+    s = n.join(top, "template", "left").fillna(0, ["top"])
+    notice = (F.col("alone") >= LEAST_TOPICS) & (F.col("alone") >= F.lit(ALONE_SHARE) * F.col("n"))
+    closed = (F.col("n") >= LEAST_TOPICS) & (F.col("alone") + F.col("top") >= F.lit(COMPANY_SHARE) * F.col("n"))
+    return s.withColumns({"notice": notice, "closed": notice | closed}).where("closed")
 
 
 def find_residue(values: DataFrame, common_words: str) -> DataFrame:
     """(entry_id, field, kind) of each value that holds residue, all of it or a part.
 
-    values: entry_id, field, value, is_code. Null and blank values have none.
-    Texts are read to their end. ``common_words`` (a regular expression) tells
-    prose from invented filler: a text of eight words or more without any is
-    filler. Repeated rows give one row; an empty table gives none. kind is
-    slot before the kinds of messages, of which the least in the alphabet.
+    values: entry_id, field, value, is_code and, if there is one, topic (else
+    every entry is a topic of its own; so is one with a null topic). Null and
+    blank values have none. Texts are read to their end. ``common_words`` (a
+    regular expression) tells prose from invented filler: a text of eight words
+    or more without any is filler. Repeated rows give one row; an empty table
+    gives none. kind is slot before the kinds of messages, of which the least
+    in the alphabet: filler, sentinel, template (judged by its use), wording.
     """
-    v = values.where(F.col("value").rlike(r"\S")).select("entry_id", "field", "value", "is_code")
+    own = F.concat(F.lit("entry "), F.col("entry_id").cast("string"))
+    topic = F.coalesce(F.col("topic"), own) if "topic" in values.columns else own
+    v = values.where(F.col("value").rlike(r"\S")).select("entry_id", "field", "value", "is_code", topic.alias("topic"))
     slots = F.lit("|".join(SLOTS))
     text_slots, code_slots = F.lit("|".join(TEXT_SLOTS)), F.lit("|".join(CODE_SLOTS))
     without_math = F.regexp_replace("value", r"\$[^$\n]{1,300}?\$", " ")
@@ -196,20 +160,27 @@ def find_residue(values: DataFrame, common_words: str) -> DataFrame:
     invented = (
         (F.regexp_count(words, F.lit(r"\p{L}{2,}")) >= 8) & ~words.rlike(r"[;{}=<>]")
         & ~F.regexp_like(words, F.lit(common_words)))
-    whole = v.select("entry_id", "field", F.when(slotted, "slot").when(invented, "filler").alias("kind")).where(
-        F.col("kind").isNotNull())
-
-    said = v.select("entry_id", "field", _messages(F.col("value"), F.col("is_code")).alias("m"),
-                    F.regexp_like("value", F.lit(r"[;{}][^\"]*\n")).alias("codelike"))
-    each = said.select("entry_id", "field", F.explode("m").alias("message"),
-                       ((F.size("m") <= ALONE_MESSAGES) & ~F.col("codelike")).alias("is_alone"))
-    # Read several times below, and small against the texts: distinct messages and their templates.
-    counted = cut_lineage(each.groupBy("message").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("is_alone").cast("int")).alias("alone")))
-    mined = cut_lineage(mine_templates(counted))
-    by_template = mined.join(counted, "message").groupBy("template").agg(
-        F.sum("n").alias("n"), F.sum("alone").alias("alone"), F.min("message").alias("sample"))
-    bad = cut_lineage(mined.join(classify_templates(by_template), "template").select("message", "kind"))
-    hit = each.join(broadcast_if_small(bad, MAX_BROADCAST_MESSAGES), "message").select("entry_id", "field", "kind")
-    return whole.unionByName(hit).groupBy("entry_id", "field").agg(
+    # Read several times below: each value once, with its messages and what is found on it as a whole.
+    said = cut_lineage(v.select(
+        "entry_id", "field", "topic", _messages(F.col("value"), F.col("is_code")).alias("m"),
+        F.regexp_like("value", F.lit(r"[;{}][^\"]*\n")).alias("codelike"),
+        F.when(slotted, "slot").when(invented, "filler").alias("kind")))
+    whole = said.select("entry_id", "field", "kind").where(F.col("kind").isNotNull())
+    short = ~F.col("codelike") & (F.size("m") <= NOTICE_MESSAGES)
+    each = said.select("entry_id", "field", "topic", short.alias("short"), F.explode("m").alias("message"))
+    wording = F.lit("|".join(f"(?:{w})" for w in RESIDUE_WORDING))
+    said_so = (
+        F.when(F.col("message").contains(SENTINEL.lower()), "sentinel").when(F.regexp_like("message", wording), "wording")
+        .when(F.col("message").rlike(r"^(\w+)(?: \1){2,}\W*$"), "filler"))
+    mined = cut_lineage(mine_templates(each).withColumn("kind", said_so))
+    used = look_up(each, mined, ["message"]).groupBy("entry_id", "field", "topic", "short", "template").agg(F.min("kind").alias("kind"))
+    k = F.count(F.lit(1)).over(Window.partitionBy("entry_id", "field", "topic"))
+    used = cut_lineage(used.withColumn("k", k).withColumn("small", (F.col("k") <= NOTICE_TEMPLATES) & F.col("short")))
+    verdicts = cut_lineage(judged_templates(used).select("template", "notice", "closed"))
+    marked = look_up(used, verdicts, ["template"]).groupBy("entry_id", "field", "topic").agg(
+        F.min("kind").alias("kind"), F.max(F.coalesce("notice", F.lit(False))).alias("notice"),
+        F.min(F.coalesce("closed", F.lit(False)) & F.col("small")).alias("all_closed"))
+    by_message = marked.select("entry_id", "field", F.explode(F.array_compact(F.array(
+        "kind", F.when(F.col("notice") | F.col("all_closed"), "template")))).alias("kind"))
+    return whole.unionByName(by_message).groupBy("entry_id", "field").agg(
         F.min(F.struct((F.col("kind") != "slot").alias("o"), "kind"))["kind"].alias("kind"))
