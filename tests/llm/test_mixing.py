@@ -40,6 +40,16 @@ def test_larger_documents_are_drawn_more_often(spark):
     assert large > 4 * small > 0
 
 
+def test_chances_add_up_where_large_documents_are_certain(spark):
+    sizes = [1000] * 3 + [10] * 500 + [1] * 700
+    rows = [(i, "a", t) for i, t in enumerate(sizes)]
+    sized, targets = spark.createDataFrame(rows, SIZED), spark.createDataFrame([("a", 0.6, 1)], TARGETS)
+    scale = mixing.inclusion_scale(sized, mixing.source_budgets(sized, targets).withColumnRenamed("tokens", "source_tokens")).first().scale
+    assert scale * 1000 > 1 > scale * 10
+    assert abs(sum(t * min(1, scale * t) for t in sizes) - 0.6 * sum(sizes)) < 1e-6
+    assert sum(r.tokens == 1000 for r in mixing.mix(sized, targets).collect()) == 3
+
+
 def test_whole_copies_ties_and_repeated_ids(spark):
     rows = [(1, "a", 10), (1, "a", 10), (2, "a", 10), (3, "b", 10)]
     got = mixing.mix(spark.createDataFrame(rows, SIZED), spark.createDataFrame([("a", 1.5, 2)], TARGETS)).collect()

@@ -1,9 +1,10 @@
 """How often two items occur in the same basket, and how much more often than chance.
 
 Method: large-basket blocking. Baskets up to ``block`` items give their pairs
-in place; larger ones are cut into chunks of ``block`` items, and each product
-of two chunks is a row of its own that any task may expand, so no task holds
-the square of a huge basket. Counts are combined before the shuffle.
+in place; larger ones are cut into chunks of ``block`` items, which are spread
+over the tasks, and each product of two chunks is joined by its own key, so no
+task holds or writes the square of a huge basket. Counts are combined before
+the shuffle.
 """
 
 from __future__ import annotations
@@ -11,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: More distinct items than this are joined to the pairs by a shuffle.
-MAX_BROADCAST_ITEMS = 100_000
+from trellisq.session import cut_lineage, look_up
 
 
 def _within(items) -> "F.Column":
@@ -43,11 +43,15 @@ def item_pairs(baskets: DataFrame, block: int = 128) -> DataFrame:
     cut = F.transform(
         F.sequence(F.lit(0), F.greatest(F.ceil(F.size("items") / block).cast("int") - 1, F.lit(0))),
         lambda k: F.slice(F.col("items"), k * block + 1, block))
-    chunks = sets.where(F.size("items") > block).select(cut.alias("chunks"))
-    # One row for each product of two chunks, spread over the tasks before it is expanded.
-    products = chunks.select("chunks", F.posexplode("chunks").alias("i", "x")).select(
-        "x", "i", F.posexplode("chunks").alias("j", "y")).where(F.col("i") <= F.col("j")).repartition(
-        "i", "j", F.xxhash64("x", "y"))
+    # The chunks leave the basket's task before they are paired; the id has to be the same in both sides of the join.
+    huge = cut_lineage(sets.where(F.size("items") > block).withColumn("basket", F.monotonically_increasing_id()))
+    chunks = cut_lineage(huge.select("basket", F.posexplode(cut).alias("k", "x")).repartition("basket", "k"))
+    last = chunks.groupBy("basket").agg(F.max("k").alias("last"))
+    # Each chunk goes once to every product it is part of, so a product is a row that any task may expand.
+    every = look_up(chunks, last, ["basket"]).select("basket", "k", "x", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("o"))
+    left = every.where(F.col("k") <= F.col("o")).select("basket", F.col("k").alias("i"), F.col("o").alias("j"), "x")
+    right = every.where(F.col("k") >= F.col("o")).select("basket", F.col("o").alias("i"), F.col("k").alias("j"), F.col("x").alias("y"))
+    products = left.join(right, ["basket", "i", "j"])
     large = products.select(F.explode(
         F.when(F.col("i") == F.col("j"), _within(F.col("x"))).otherwise(_between(F.col("x"), F.col("y")))).alias("p"))
     return small.unionByName(large).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n_ab"))
@@ -62,18 +66,18 @@ def associations(baskets: DataFrame, one_in: int | None = None, min_lift: float
     the baskets with either item that hold both. Pairs that stand together in
     less than one of ``one_in`` baskets, or with lift < min_lift, are left out. An empty table gives no rows.
     """
+    # Read three times below.
+    baskets = cut_lineage(baskets.select("items"))
     total = baskets.select(F.count(F.lit(1)).alias("n"))
-    counts = baskets.select(F.explode(F.array_distinct(F.array_compact("items"))).alias("item")).groupBy("item").agg(
-        F.count(F.lit(1)).alias("k"))
-    few = counts.limit(MAX_BROADCAST_ITEMS + 1).count() <= MAX_BROADCAST_ITEMS
-    side = F.broadcast if few else (lambda x: x)
+    counts = cut_lineage(baskets.select(F.explode(F.array_distinct(F.array_compact("items"))).alias("item")).groupBy("item").agg(
+        F.count(F.lit(1)).alias("k")))
     pairs = item_pairs(baskets, block).crossJoin(F.broadcast(total))  # one row
     if one_in:
         pairs = pairs.where(F.col("n_ab") * F.lit(one_in) >= F.col("n"))
-    scored = (
-        pairs.join(side(counts.select(F.col("item").alias("a"), F.col("k").alias("n_a"))), "a")
-        .join(side(counts.select(F.col("item").alias("b"), F.col("k").alias("n_b"))), "b")
-    )
+    # An item may stand in most of the pairs.
+    pairs = cut_lineage(pairs)
+    scored = look_up(look_up(pairs, counts.select(F.col("item").alias("a"), F.col("k").alias("n_a")), ["a"]),
+                     counts.select(F.col("item").alias("b"), F.col("k").alias("n_b")), ["b"])
     lift = F.col("n_ab").cast("double") * F.col("n") / (F.col("n_a").cast("double") * F.col("n_b"))
     rare = -F.log(F.col("n_ab") / F.col("n"))
     return scored.where(

@@ -54,32 +54,50 @@ def source_budgets(sized: DataFrame, targets: DataFrame) -> DataFrame:
     counts in the total. Of several targets for a source the largest holds.
 
     Returns source (as written in targets), key, target_share, max_repeats,
-    docs, tokens, square (sum of squared sizes), total_tokens, target_tokens, reachable, whole (copies of
-    every document) and rest_share (the share of one more copy to draw).
+    docs, tokens, total_tokens, target_tokens, whole (copies of every document)
+    and rest_share (the share of one more copy to draw).
     """
     have = sized.groupBy(slug_key(F.col("source")).alias("key")).agg(
-        F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"),
-        F.sum(F.col("tokens").cast("double") * F.col("tokens")).alias("square"))
+        F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
     total = have.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"))
     want = targets.where(F.col("source").isNotNull()).groupBy(slug_key(F.col("source")).alias("key")).agg(
         F.max(F.struct(F.coalesce("target_share", F.lit(0.0)).alias("target_share"),
                        F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"), "source")).alias("t"))
     b = want.select("key", "t.source", "t.target_share", "t.max_repeats").join(have, "key", "left").crossJoin(
         F.broadcast(total))  # one row
-    b = b.fillna(0, ["docs", "tokens", "square"]).withColumn("target_tokens", F.col("target_share") * F.col("total_tokens"))
+    b = b.fillna(0, ["docs", "tokens"]).withColumn("target_tokens", F.col("target_share") * F.col("total_tokens"))
     copies = F.when(F.col("tokens") > 0, F.col("target_tokens") / F.col("tokens")).otherwise(0.0)
-    reachable = F.col("max_repeats") * F.col("tokens") >= F.col("target_tokens")
     whole = F.least(F.floor(copies), F.col("max_repeats").cast("bigint"))
-    return b.withColumn("reachable", reachable).withColumn("whole", whole).withColumn(
+    return b.withColumn("whole", whole).withColumn(
         "rest_share", F.when(F.col("whole") < F.col("max_repeats"), copies - F.col("whole")).otherwise(0.0))
 
 
+def inclusion_scale(sized: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(key, scale): chances min(1, scale * tokens) such that the expected size of a source's draw is its rest.
+
+    The largest documents are certain as long as their chance would exceed 1,
+    and the rest is shared by the others. Found on the distinct sizes of a
+    source, of which there are at most as many as its largest document has
+    tokens, whatever the number of documents.
+    """
+    sizes = sized.where(F.col("tokens") > 0).groupBy(slug_key(F.col("source")).alias("key"), "tokens").agg(F.count(F.lit(1)).alias("n"))
+    largest_first = Window.partitionBy("key").orderBy(F.desc("tokens")).rowsBetween(Window.unboundedPreceding, -1)
+    rest_up = Window.partitionBy("key").orderBy(F.desc("tokens")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    size, square = F.col("tokens") * F.col("n"), F.col("tokens").cast("double") * F.col("tokens") * F.col("n")
+    tried = sizes.join(budgets.select("key", (F.col("rest_share") * F.col("source_tokens")).alias("rest")), "key").where(F.col("rest") > 0).select(
+        "key", "tokens", ((F.col("rest") - F.coalesce(F.sum(size).over(largest_first), F.lit(0))) / F.sum(square).over(rest_up)).alias("scale"))
+    # With all larger ones certain, this size and the smaller ones share what is left: the first size whose chance is a chance.
+    fits = tried.where(F.col("scale") * F.col("tokens") <= 1)
+    return fits.groupBy("key").agg(F.max(F.struct("tokens", "scale"))["scale"].alias("scale"))
+
+
 def mix(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
     """(doc_id, source, tokens, copies) for every document used at least once.
 
     sized: doc_id, source, tokens. Every document of a source gets ``whole``
     copies; one copy more goes to a sample of them that fills the rest of the
-    target, with inclusion chances p_i in proportion to the size up to 1.
+    target, with inclusion chances p_i in proportion to the size up to 1
+    (``inclusion_scale``).
     Documents are taken in the order of (u/(1-u)) / (p/(1-p)), u being a
     uniform hash of seed and doc_id, while the running size stays within the
     rest: the reached size falls short of the target by less than one
@@ -88,13 +106,12 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
     """
     budgets = broadcast_if_small(
         source_budgets(sized, targets).select(
-            "key", F.col("source").alias("as_written"), "whole", "rest_share", F.col("tokens").alias("source_tokens"), "square"),
+            "key", F.col("source").alias("as_written"), "whole", "rest_share", F.col("tokens").alias("source_tokens")),
         MAX_BROADCAST_SOURCES)
-    d = sized.select("doc_id", slug_key(F.col("source")).alias("key"), "tokens").join(budgets, "key")
+    d = sized.select("doc_id", slug_key(F.col("source")).alias("key"), "tokens").join(budgets, "key").join(
+        broadcast_if_small(inclusion_scale(sized, budgets), MAX_BROADCAST_SOURCES), "key", "left")
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(2**52)) + 0.5) / F.lit(float(2**52))
-    # Chances in proportion to size, such that the expected size of the draw is the rest.
-    scale = F.try_divide(F.col("source_tokens"), F.col("square"))
-    p = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.coalesce(F.col("rest_share") * F.col("tokens") * scale, F.lit(0.0))))
+    p = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.coalesce(F.col("scale") * F.col("tokens"), F.lit(0.0))))
     odds = (u / (1 - u)) / (p / (1 - p))
     ranked = d.withColumn("rank_key", odds / (1 + odds)).withColumn(
         "range", F.least(F.floor(F.col("rank_key") * RANK_RANGES), F.lit(RANK_RANGES - 1)))
@@ -127,14 +144,18 @@ def mix_report(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFram
     """Of each target source: its target, what it has, what the mix uses, and the shares reached.
 
     ``reached_share`` is of the total of all documents (what the target is
-    given of), ``mix_share`` of the size of the mix itself.
+    given of), ``mix_share`` of the size of the mix itself. ``reachable`` is
+    read off the mix: false where it falls short although every document is in
+    it max_repeats times.
     """
     used = mix(sized, targets, seed).groupBy("source").agg(
         F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.max("copies").alias("most_copies"),
         F.count(F.lit(1)).alias("used_docs"))
     r = source_budgets(sized, targets).join(used, "source", "left").fillna(0, ["used_tokens", "most_copies", "used_docs"])
+    short = (F.col("used_tokens") == F.col("tokens") * F.col("max_repeats")) & (F.col("used_tokens") < F.col("target_tokens"))
     all_used = r.agg(F.sum("used_tokens").alias("mix_tokens"))
     return r.crossJoin(F.broadcast(all_used)).select(
         "source", "target_share", "max_repeats", "docs", "tokens", "used_docs", "used_tokens", "most_copies",
         F.try_divide("used_tokens", "total_tokens").alias("reached_share"),
-        F.try_divide("used_tokens", "mix_tokens").alias("mix_share"), "reachable")
+        F.try_divide("used_tokens", "mix_tokens").alias("mix_share"),
+        (~short).alias("reachable"))

@@ -3,7 +3,8 @@
 Method: every statistic gets a mergeable quantile sketch (KLL) per language
 detected by its words; values become percentiles and robust z-scores against
 their language's sketch, those of undetected texts against the merged sketch,
-and documents in the tail of too few common words are flagged.
+and documents are flagged where the tails of common words and of running text
+agree, or the former is far out.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ STATISTICS = (
 LINE_COMMON = 0.18
 #: Items of up to this many words, and unpunctuated lines of fewer, are no sentences.
 ITEM_WORDS, SENTENCE_WORDS = 8, 6
+#: A statistic that hardly varies still varies by so much.
+LEAST_SPREAD = 0.01
 #: Without a word list for the language, a line with more separators a word is a table row or keywords.
 SEPARATORS_A_WORD = 1 / 3
 
@@ -134,22 +137,22 @@ def language_sketches(stats: DataFrame) -> DataFrame:
         *[F.kll_sketch_agg_double(F.col(s).cast("double")).alias(f"sk_{s}") for s in STATISTICS])
 
 
-def quality(stats: DataFrame, tail: float = 0.5, near_tail: float = 0.65) -> DataFrame:
+def quality(stats: DataFrame, tail: float = -3.5, far_tail: float = -7.0) -> DataFrame:
     """The statistics with ``pct_*`` (percentile in the language), ``z_*`` (robust z) and ``flagged``.
 
     The reference of a text is its language's detected texts; that of an
     undetected one is the detected texts of all languages together, so junk
     is never compared with junk. z is the distance from the median in units
-    of the interquartile range over 1.349 (0 where that range is 0 and the
-    value is the median). A document is flagged if its share of common words
-    lies in the low tail: below ``tail`` times what the upper fifth of its
-    reference reaches, or below ``near_tail`` times that while less than half
-    of its characters are in lines of running text (narrowly wrapped prose has
-    short lines, but many common words). Undetected texts are flagged too
-    where no text was detected, as they have too few common words for running
-    text; those declared in a language without a word list only if less than
-    half of their characters are in lines of running text. Rows without text
-    have null in all of these and are not flagged; without a reference
+    of the interquartile range over 1.349, which counts as at least
+    LEAST_SPREAD. A document is flagged where the tails of its statistics
+    agree: z of the share of common words and z of the share of running text
+    both lie below ``tail``, or the former lies below ``far_tail`` (running
+    text in short lines, or with few common words, is in one tail only).
+    Undetected texts are flagged too where no text was detected, as they have
+    too few common words for running text; those declared in a language
+    without a word list have no reference of their own and are flagged if less
+    than half of their characters are in lines of running text. Rows without
+    text have null in all of these and are not flagged; without a reference
     ``pct_*`` and ``z_*`` are null.
     """
     sketches = language_sketches(stats)
@@ -169,10 +172,9 @@ def quality(stats: DataFrame, tail: float = 0.5, near_tail: float = 0.65) -> Dat
     for s in STATISTICS:
         spread = (at(s, 75) - at(s, 25)) / 1.349
         off = F.col(s) - at(s, 50)
-        z[f"z_{s}"] = F.when(has & off.isNotNull(), F.when(off == 0, 0.0).otherwise(off / F.greatest(spread, F.lit(1e-6))))
-    low = lambda share: F.col("common_share") < F.lit(share) * at("common_share", 80)
+        z[f"z_{s}"] = F.when(has & off.isNotNull(), off / F.greatest(spread, F.lit(LEAST_SPREAD)))
     unlisted = ~F.col("detected") & ~F.col("lang").isin(*COMMON_WORDS, "und")
-    tails = F.coalesce(low(tail) | (low(near_tail) & (F.col("prose_share") < 0.5)), ~F.col("detected"))
-    flagged = has & F.when(unlisted, F.col("prose_share") < 0.5).otherwise(tails)
+    tails = (z["z_common_share"] < far_tail) | ((z["z_common_share"] < tail) & (z["z_prose_share"] < tail))
+    flagged = has & F.when(unlisted, F.col("prose_share") < 0.5).otherwise(F.coalesce(tails, ~F.col("detected")))
     return joined.withColumns({**pct, **z, "flagged": flagged}).select(
         "doc_id", "lang", *STATISTICS, *pct, *z, "flagged")

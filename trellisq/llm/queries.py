@@ -86,10 +86,8 @@ def _sized(spark: SparkSession, sf_dir: str, tokenizer_path: str = mixing.DEFAUL
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Counted once: budgets read the sizes per source and in total.
-    sized = cut_lineage(_sized(spark, sf_dir).select("source", "tokens"))
-    return mixing.source_budgets(sized, table(spark, sf_dir, "mix_targets")).where(
-        ~F.col("reachable")).select("source")
+    """The sources whose sampled mix falls short with every document used as often as it may be."""
+    return p7_shares(spark, sf_dir).where(~F.col("reachable")).select("source")
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +99,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(cut_lineage(_sized(spark, sf_dir)), table(spark, sf_dir, "mix_targets"))
 
 
+def p7_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What does not depend on the tokenizer: documents of each source and whether its share is reached."""
+    return p7_shares(spark, sf_dir).select("source", "target_share", "max_repeats", "docs", "reachable")
+
+
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The sketches and the rows both read the statistics: measure each text once.
     return quality.quality(cut_lineage(quality.text_statistics(table(spark, sf_dir, "documents"))))
@@ -128,7 +131,18 @@ ab AS (SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS n_ab FROM t a JOIN t b
 s AS (SELECT tag_a, tag_b, n, x.k AS n_a, y.k AS n_b, n_ab FROM ab JOIN k x ON x.tag = tag_a JOIN k y ON y.tag = tag_b, n)
 """
 
+# A plain word count stands for the tokenizer: which sources fall short does not depend on it.
+_BUDGETS = r"""
+WITH d AS (SELECT lower(trim(source)) AS key, len(regexp_extract_all(coalesce(text, ''), '\w+|[^\w\s]')) AS tokens FROM documents),
+have AS (SELECT key, count(*) AS docs, sum(tokens) AS tokens FROM d GROUP BY key),
+t AS (SELECT m.source, target_share, max_repeats, coalesce(docs, 0) AS docs,
+  max_repeats * coalesce(tokens, 0) >= target_share * (SELECT sum(tokens) FROM d) AS reachable
+  FROM mix_targets m LEFT JOIN have ON key = lower(trim(m.source)))
+"""
+
 SQL = {
+    "p7_found": _BUDGETS + "SELECT source FROM t WHERE NOT reachable",
+    "p7_sources": _BUDGETS + "SELECT * FROM t",
     "p3_found": _TAGS + "SELECT tag_a, tag_b FROM s WHERE n_ab * 200 >= n AND n_ab * n >= 2 * n_a * n_b",
     "p3_pairs": _TAGS + """
 SELECT tag_a, tag_b, n, n_a, n_b, n_ab, round(n_ab::DOUBLE * n / (n_a::DOUBLE * n_b), 6) AS lift,
@@ -148,6 +162,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_sources": p7_sources,
     "p8_found": p8_found,
     "p8_stats": p8_stats,
 }
