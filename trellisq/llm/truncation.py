@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellisq.session import cut_lineage
+from trellisq.session import cut_lineage, look_up
 
 # What a broken transfer may leave or append behind the text.
 DEBRIS = r"(?:\s*\[(?:more|cut|truncated|\.\.\.|…)\]|\s*</\w+>|\s*//\s*\.\.\.|\s*(?:\.\.\.|…)|\r\n|�+|\s*\"\s*[}\]]*|\s*[}\]]+\"?)$"
@@ -173,9 +173,10 @@ def _limits_of(pdf: pd.DataFrame) -> pd.DataFrame:
         z = (np.log(x) - mu) / sd
         density = np.exp(-0.5 * z * z) / (x * sd * math.sqrt(2 * math.pi))
         # The fit may be rough: neighbouring lengths that are no limits have a say too.
-        near = np.array([
-            n[(np.abs(x - c) <= max(8, 0.04 * c)) & ~censored & (x != c)].sum() / (2 * max(8.0, 0.04 * c)) if k >= MIN_AT_LIMIT else 0.0
-            for c, k in zip(x, n)])
+        reach = np.maximum(8.0, 0.04 * x)
+        upto = np.concatenate(([0], np.cumsum(np.where(censored, 0, n))))
+        around = upto[np.searchsorted(x, x + reach, side="right")] - upto[np.searchsorted(x, x - reach)] - np.where(censored, 0, n)
+        near = np.where(n >= MIN_AT_LIMIT, around / (2 * reach), 0.0)
         expected = np.maximum(total * density, near)
         new = np.array([k >= MIN_AT_LIMIT and _log_poisson_tail(int(k), e) < LIMIT_LOG_CHANCE for k, e in zip(n, expected)])
         if (new == censored).all():
@@ -205,8 +206,13 @@ def length_limits(ends: DataFrame) -> DataFrame:
         "censored_share double")
 
 
-def _posteriors(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Posterior of each (source, limit, ending class) of one field; pdf has counts by kind real or cut."""
+def _class_ratios(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What each ending class of one field says; pdf has a row for each class and kind, real or cut.
+
+    Returns class, ratio (whole to cut), anchor (taken to be cut), mass (share
+    of random cuts in the anchors) and overall (share of values cut). There are
+    as many rows as ending classes, some hundreds whatever the data.
+    """
     cut = pdf[pdf["kind"] == "cut"].groupby("class")["n"].sum()
     real = pdf[pdf["kind"] == "real"]
     seen = real.groupby("class")["n"].sum()
@@ -245,21 +251,7 @@ def _posteriors(pdf: pd.DataFrame) -> pd.DataFrame:
     shape_share = by_shape[0] / (by_shape[1] * total)
     unfinished = np.array([x == "open" for x in shapes]) & (shape_share < 1)
     ratio = np.where(unfinished | (shape_share <= 1.3 * overall), 1e-6 / c, ratio)
-    index = {k: i for i, k in enumerate(classes)}
-    out = []
-    for (source, limit), g in real.groupby(["source", "limit"], dropna=False):
-        n = g["n"].sum()
-        at = np.array([index[k] for k in g["class"]])
-        found = g["n"].to_numpy()[anchor[at]].sum() / mass
-        prior = float(g["censored_share"].iloc[0]) if limit else overall
-        weight = 4.0  # the prior counts as so many values
-        share = min(0.98, max(1e-4, (found + weight * prior) / (n + weight)))
-        post = share / (share + (1 - share) * ratio[at])
-        out.append(pd.DataFrame({
-            "field": g["field"], "source": source, "limit": limit, "class": g["class"], "posterior": post}))
-    if not out:
-        return pd.DataFrame({k: [] for k in ("field", "source", "limit", "class", "posterior")})
-    return pd.concat(out)
+    return pd.DataFrame({"field": pdf["field"].iloc[0], "class": classes, "ratio": ratio, "anchor": anchor, "mass": mass, "overall": overall})
 
 
 def _bucket(real, cut):
@@ -285,16 +277,17 @@ def truncated(values: DataFrame) -> DataFrame:
         r = ends.groupBy("field", F.col(name).alias("k")).agg(F.count(F.lit(1)).alias("r"))
         c = ends.groupBy("field", F.col(f"{name}_c").alias("k")).agg(F.count(F.lit(1)).alias("c"))
         both = r.join(c, ["field", "k"], "full_outer").select("field", "k", _bucket(F.col("r"), F.col("c")).alias("b"))
-        labelled = labelled.join(
-            both.select("field", F.col("k").alias(name), F.col("b").alias(f"{name}_b")), ["field", name])
-        labelled = labelled.join(
-            both.select("field", F.col("k").alias(f"{name}_c"), F.col("b").alias(f"{name}_cb")), ["field", f"{name}_c"])
+        # What says nothing is not kept: the rest is common, and one end may stand in most of the values.
+        telling = cut_lineage(both.where(F.col("b") != "e"))
+        for column, bucket in ((name, f"{name}_b"), (f"{name}_c", f"{name}_cb")):
+            labelled = look_up(labelled, telling.select("field", F.col("k").alias(column), F.col("b").alias(bucket)), ["field", column])
+            labelled = labelled.withColumn(bucket, F.coalesce(bucket, F.lit("e")))
     limits = cut_lineage(length_limits(ends)).select("field", "source", "unit", "length", "censored_share")
     best = labelled
     for unit in ("chars", "bytes"):
         own = limits.where(F.col("unit") == unit).select(
             "field", "source", F.col("length").alias(unit), F.col("censored_share").alias(f"share_{unit}"))
-        best = best.join(own, ["field", "source", unit], "left")
+        best = look_up(best, own, ["field", "source", unit])
     at = F.when(F.col("share_bytes").isNotNull(), F.col("bytes")).when(F.col("share_chars").isNotNull(), F.col("chars")).otherwise(0)
     best = cut_lineage(best.select(
         "entry_id", "field", "source", "chars", "bytes", at.cast("bigint").alias("limit"),
@@ -302,15 +295,22 @@ def truncated(values: DataFrame) -> DataFrame:
         F.concat_ws("|", "shape", "tail_b", "head_b").alias("class"),
         F.concat_ws("|", "shape_c", "tail_cb", "head_cb").alias("class_c"),
     ))
-    counts = best.groupBy("field", "source", "limit", "class").agg(
-        F.count(F.lit(1)).alias("n"), F.max("censored_share").alias("censored_share")).withColumn("kind", F.lit("real"))
-    random_cuts = best.groupBy("field", F.col("class_c").alias("class")).agg(F.count(F.lit(1)).alias("n")).select(
-        "field", F.lit("").alias("source"), F.lit(0).cast("bigint").alias("limit"), "class", "n",
-        F.lit(0.0).alias("censored_share"), F.lit("cut").alias("kind"))
-    posterior = counts.unionByName(random_cuts).groupBy("field").applyInPandas(
-        lambda key, pdf: _posteriors(pdf),
-        "field string, source string, limit bigint, class string, posterior double")
-    return best.drop("class_c", "censored_share").join(posterior, ["field", "source", "limit", "class"]).withColumn(
+    counts = cut_lineage(best.groupBy("field", "source", "limit", "class").agg(
+        F.count(F.lit(1)).alias("n"), F.max("censored_share").alias("censored_share")))
+    by_class = counts.groupBy("field", "class").agg(F.sum("n").alias("n")).withColumn("kind", F.lit("real")).unionByName(
+        best.groupBy("field", F.col("class_c").alias("class")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("cut")))
+    ratios = cut_lineage(by_class.groupBy("field").applyInPandas(
+        lambda key, pdf: _class_ratios(pdf),
+        "field string, class string, ratio double, anchor boolean, mass double, overall double"))
+    # Each source and limit has its own share of cut values; the prior counts as so many of them.
+    own = Window.partitionBy("field", "source", "limit")
+    weight = 4.0
+    prior = F.when(F.col("limit") > 0, F.max("censored_share").over(own)).otherwise(F.col("overall"))
+    found = F.sum(F.when(F.col("anchor"), F.col("n")).otherwise(0)).over(own) / F.col("mass")
+    share = F.least(F.lit(0.98), F.greatest(F.lit(1e-4), (found + weight * prior) / (F.sum("n").over(own) + weight)))
+    posterior = cut_lineage(look_up(counts, ratios, ["field", "class"]).withColumn("share", share).select(
+        "field", "source", "limit", "class", (F.col("share") / (F.col("share") + (1 - F.col("share")) * F.col("ratio"))).alias("posterior")))
+    return look_up(best.drop("class_c", "censored_share"), posterior, ["field", "source", "limit", "class"]).withColumn(
         "cut", F.col("posterior") >= CUT_POSTERIOR)
 
 
