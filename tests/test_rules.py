@@ -153,10 +153,21 @@ def test_virtual_contest_skips_and_widens(spark):
     problems = spark.createDataFrame(
         [(1, "A", 800), (1, "B", 820), (1, "C", 1450), (1, "D", None), (2, "A", 2500)], "contest_id int, idx string, rating int")
     subs = spark.createDataFrame([(2, 1, "A", True), (2, 1, "B", False)], "user_id int, contest_id int, idx string, ok boolean")
-    got = sorted((r.user_id, r.letter, r.contest_id, r.idx) for r in C.virtual_contest(users, subs, problems).collect())
+    got = sorted((r.user_id, r.letter, r.contest_id, r.idx) for r in C.virtual_contest(users, subs, problems, least_pool=1).collect())
     assert got == [(1, "A", 1, "A"), (1, "B", 1, "B"), (1, "C", 1, "C"), (1, "D", 2, "A"), (2, "A", 1, "B"), (2, "B", 1, "C"), (2, "C", 2, "A")]
 
 
+def test_virtual_contest_draws_from_the_free_ones(spark):
+    users = spark.range(60).selectExpr("cast(id as int) as user_id")
+    problems = spark.createDataFrame([(1, f"P{k:02d}", 800 + 10 * k) for k in range(12)], "contest_id int, idx string, rating int")
+    subs = spark.createDataFrame([(u, 1, f"P{k:02d}", True) for u in range(60) for k in range(u % 5)], "user_id int, contest_id int, idx string, ok boolean")
+    rows = C.virtual_contest(users, subs, problems, count=2).collect()
+    assert rows == C.virtual_contest(users, subs, problems, count=2).collect() and len(rows) == 120
+    picked = {(r.user_id, r.idx) for r in rows}
+    assert len(picked) == 120 and not any(int(i[1:]) < u % 5 for u, i in picked)
+    assert len({i for _, i in picked}) > 8
+
+
 def test_contest_classes(spark):
     names = ["Round 1 (Div. 1 + Div. 2)", "x div. 1", "Educational Round (Div. 2)", "Div. 4", "Educational Round", "Global Round", "Cup", None]
     df = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, name string")

@@ -53,6 +53,12 @@ def contest_class(name: Column) -> Column:
     return chain.otherwise("Other")
 
 
+def series(contest_id: Column) -> Column:
+    """The series of a contest by the prefix of its id."""
+    low = F.coalesce(contest_id, F.lit(""))
+    return F.when(low.startswith("abc"), "ABC").when(low.startswith("arc"), "ARC").when(low.startswith("agc"), "AGC").otherwise("Other")
+
+
 def natural_key(idx: Column) -> Column:
     """Sorts single characters first, then by the first number, then other texts."""
     number = F.regexp_extract(idx, r"\d+", 0)

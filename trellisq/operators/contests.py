@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellisq.functions.ladders import contest_class, natural_key, slugified
+from trellisq.functions.ladders import CONTEST_CLASSES, contest_class, natural_key, slugified
 from trellisq.session import cut_lineage
 from trellisq.sources.domain import solved_keys
 
@@ -16,7 +16,7 @@ DIVISION_RATINGS = {
     3: [800, 900, 1100, 1300, 1500, 1700],
     4: [800, 800, 900, 1000, 1100, 1200, 1400],
 }
-WIDEST_TOLERANCE, HIGHEST_TARGET, PAGE = 400, 3500, 75
+TOLERANCE, WIDEST_TOLERANCE, LEAST_CHOICE, HIGHEST_TARGET, PAGE = 200, 400, 3, 3500, 75
 
 
 def catalog(problems: DataFrame, statistics: DataFrame) -> DataFrame:
@@ -72,9 +72,11 @@ def mapped_catalog(contests: DataFrame, mapping: DataFrame, problems: DataFrame)
         "series", pos.alias("pos"), "contest_id", "n_problems", "labels")
 
 
-def contest_search(catalogue: DataFrame, query: str) -> DataFrame:
-    """Contests whose name or id holds the query, in any case."""
+def contest_search(catalogue: DataFrame, query: str, category: str | None = None) -> DataFrame:
+    """Contests, of one category if it is named, whose name or id holds the query, in any case."""
     q = query.strip().lower()
+    if category is not None:
+        catalogue = catalogue.where(F.col("category") == category)
     return catalogue.where(F.lower("name").contains(q) | F.col("contest_id").cast("string").contains(q)).select(
         "category", "contest_id", "name")
 
@@ -96,22 +98,59 @@ def contest_progress(subs: DataFrame, problems: DataFrame) -> DataFrame:
         "user_id", "contest_id", "solved", "total")
 
 
-def div_contests(contests: DataFrame, problems: DataFrame, division: int, examined: int = 50, samples: int = 3) -> DataFrame:
-    """(pos, contest_id, name, samples): the newest finished contests of a division with their first problems.
+def div_contests(
+    users: DataFrame, subs: DataFrame, contests: DataFrame, problems: DataFrame, division: int, count: int = 5, examined: int = 50,
+    samples: int = 3,
+) -> DataFrame:
+    """(user_id, pos, contest_id, name, unsolved, samples): up to ``count`` contests with problems the user has not solved.
 
-    The division is what the name holds, so a combined contest belongs to
-    both; an unknown division is taken as 2.
+    Of the ``examined`` newest finished contests of the division, those that
+    have problems, newest first; samples are the first unsolved problems. The
+    division is what the name holds, so a combined contest belongs to both; an
+    unknown division is taken as 2.
     """
     div = division if division in DIVISION_RATINGS else 2
     chosen = contests.where((F.col("phase") == "FINISHED") & F.col("name").contains(f"Div. {div}")).orderBy(
         F.desc("contest_id")).limit(examined)
-    per = problems.groupBy("contest_id").agg(F.array_sort(F.collect_list(
-        F.struct(natural_key(F.col("idx")).alias("k"), F.col("idx").alias("idx")))).alias("all"))
-    picked = chosen.join(per, "contest_id")
-    pos = F.row_number().over(Window.orderBy(F.desc("contest_id"))).cast("bigint")  # over at most ``examined`` rows
-    return picked.select(
-        pos.alias("pos"), "contest_id", "name",
-        F.array_join(F.transform(F.slice("all", 1, samples), lambda p: p["idx"]), ",").alias("samples"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(natural_key(F.col("idx")).alias("k"), F.col("idx").alias("idx")))), lambda p: p["idx"])
+    per = problems.join(F.broadcast(chosen.select("contest_id")), "contest_id", "left_semi").groupBy("contest_id").agg(listed.alias("labels"))
+    # One row of at most ``examined`` contests, newest first.
+    every = chosen.join(per, "contest_id").agg(F.sort_array(F.collect_list(F.struct("contest_id", "name", "labels")), asc=False).alias("every"))
+    known = cut_lineage(every)
+    ids = known.select(F.explode("every.contest_id").alias("contest_id"))
+    solved = solved_keys(subs).join(F.broadcast(ids), "contest_id", "left_semi").groupBy("user_id", "contest_id").agg(
+        F.collect_set("idx").alias("solved"))
+    offered = users.select("user_id").crossJoin(F.broadcast(known)).select("user_id", F.explode("every").alias("c")).select("user_id", "c.*")
+    left = offered.join(solved, ["user_id", "contest_id"], "left").withColumn(
+        "left", F.array_except("labels", F.coalesce("solved", F.array().cast("array<string>")))).where(F.size("left") > 0)
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("contest_id"))).cast("bigint")
+    return left.withColumn("pos", pos).where(F.col("pos") <= count).select(
+        "user_id", "pos", "contest_id", "name", F.size("left").cast("bigint").alias("unsolved"),
+        F.array_join(F.slice("left", 1, samples), ",").alias("samples"))
+
+
+def contest_problems(contests: DataFrame, problems: DataFrame, statistics: DataFrame) -> DataFrame:
+    """(category, contest_id, contest, idx, name, rating, solved_count): the problems of finished contests with their solver counts."""
+    finished = contests.where(F.col("phase") == "FINISHED").select("contest_id", F.col("name").alias("contest"))
+    stats = statistics.select("contest_id", "idx", F.col("solved_count").alias("stat"))
+    return problems.select("contest_id", "idx", "name", "rating").join(finished, "contest_id").join(stats, ["contest_id", "idx"], "left").select(
+        contest_class(F.col("contest")).alias("category"), "contest_id", "contest", "idx", "name", "rating",
+        F.coalesce("stat", F.lit(0)).cast("bigint").alias("solved_count"))
+
+
+def category_counts(catalogue: DataFrame) -> DataFrame:
+    """(category, n) of every category, those without a contest too."""
+    spark = catalogue.sparkSession
+    every = spark.createDataFrame([(c,) for c, _ in CONTEST_CLASSES] + [("Other",)], "category string")
+    counts = catalogue.groupBy("category").agg(F.count(F.lit(1)).alias("n"))  # a row for each class
+    return every.join(F.broadcast(counts), "category", "left").fillna(0, ["n"])
+
+
+def dispatched(first: DataFrame, second: DataFrame, platform: str | None) -> DataFrame:
+    """The catalogue of one platform (problems or tasks); both for any other name or none."""
+    if platform == "problems":
+        return catalog_union(first, second.limit(0))
+    return catalog_union(first.limit(0), second) if platform == "tasks" else catalog_union(first, second)
 
 
 def slot_targets(division: int, count: int) -> list[int]:
@@ -132,18 +171,22 @@ def recent_contest_solves(subs: DataFrame, problems: DataFrame, last: int = 50)
         problems.select("contest_id", "idx"), ["contest_id", "idx"], "left_semi").select("user_id", "contest_id", "idx")
 
 
-def virtual_contest(users: DataFrame, subs: DataFrame, problems: DataFrame, division: int = 2, count: int = 5) -> DataFrame:
-    """(user_id, letter, contest_id, idx, rating): per slot the unsolved problem closest to its target.
+def virtual_contest(
+    users: DataFrame, subs: DataFrame, problems: DataFrame, division: int = 2, count: int = 5, seed: int = 7, least_pool: int = 20,
+) -> DataFrame:
+    """(user_id, letter, contest_id, idx, rating): per slot an unsolved problem close to its target.
 
-    Ties go to the smaller (contest_id, idx); no problem is used twice; a slot
-    without a problem in reach is skipped; at the end the slots are sorted by
-    rating and lettered. With the closest as the only choice the widening of
-    the tolerance changes nothing but the reach. The order of a slot's
-    candidates is the same for all users, so a user's choice is the first rank
-    that their solved problems leave free: users and catalogue are never paired.
+    The choice of a slot are the unsolved problems within 200 of its target,
+    or within 400 where there are fewer than three, by distance, then
+    (contest_id, idx). One of the first ``least_pool``, or of the first fourth
+    if that is more, is drawn by a hash of user, slot and seed. No problem is used twice; a slot without a
+    choice is skipped; at the end the slots are sorted by rating and lettered.
+    The order of a slot's choice is the same for all users, so the r-th free
+    one is found from the ranks that a user's problems take away: users and
+    catalogue are never paired.
     """
-    rated = problems.where(F.col("rating").isNotNull()).select("contest_id", "idx", F.col("rating").cast("bigint").alias("rating"))
-    solved = solved_keys(subs).join(rated, ["contest_id", "idx"])
+    rated = cut_lineage(problems.where(F.col("rating").isNotNull()).select("contest_id", "idx", F.col("rating").cast("bigint").alias("rating")))
+    solved = cut_lineage(solved_keys(subs).join(rated, ["contest_id", "idx"]).select("user_id", "contest_id", "idx"))
     picks = None
     for k, target in enumerate(slot_targets(division, count)):
         off = F.abs(F.col("rating") - target)
@@ -152,16 +195,23 @@ def virtual_contest(users: DataFrame, subs: DataFrame, problems: DataFrame, divi
         sizes = reach.groupBy("off").agg(F.count(F.lit(1)).alias("n"))  # as many rows as there are ratings in reach
         before = sizes.select("off", (F.sum("n").over(Window.orderBy("off")) - F.col("n")).alias("before"))
         within = F.row_number().over(Window.partitionBy("off").orderBy("contest_id", "idx"))
-        ranks = reach.withColumn("within", within).join(before, "off").select(
-            "contest_id", "idx", "rating", (F.col("before") + F.col("within")).alias("rank"))
-        taken = solved.select("user_id", "contest_id", "idx")
-        if picks is not None:
-            taken = taken.unionByName(picks.select("user_id", "contest_id", "idx"))
-        blocked = taken.join(ranks.select("contest_id", "idx", "rank"), ["contest_id", "idx"])
+        ranks = cut_lineage(reach.withColumn("within", within).join(before, "off").select(
+            "contest_id", "idx", "rating", (F.col("off") <= TOLERANCE).alias("near"), (F.col("before") + F.col("within")).alias("rank")))
+        totals = ranks.agg(F.count(F.lit(1)).alias("wide"), F.count_if("near").alias("close"))  # one row
+        taken = solved if picks is None else solved.unionByName(picks.select("user_id", "contest_id", "idx"))
+        blocked = taken.join(ranks.select("contest_id", "idx", "rank", "near"), ["contest_id", "idx"])
         nth = F.row_number().over(Window.partitionBy("user_id").orderBy("rank"))
-        free = blocked.withColumn("nth", nth).groupBy("user_id").agg(
-            (F.count_if(F.col("rank") == F.col("nth")) + 1).alias("rank"))
-        choice = users.select("user_id").join(free, "user_id", "left").fillna(1, ["rank"]).join(ranks, "rank").select(
+        gone = blocked.withColumn("nth", nth).groupBy("user_id").agg(
+            F.count(F.lit(1)).alias("out"), F.count_if("near").alias("out_near"), F.array_sort(F.collect_list(F.col("rank") - F.col("nth"))).alias("skips"))
+        free_near, free_wide = F.col("close") - F.col("out_near"), F.col("wide") - F.col("out")
+        n = F.when(free_near >= LEAST_CHOICE, free_near).otherwise(free_wide)
+        pool = F.least(n, F.greatest(F.lit(least_pool), F.floor(n / 4)))
+        draw = F.conv(F.substring(F.md5(F.concat_ws("/", F.col("user_id").cast("string"), F.lit(str(k)), F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint")
+        want = users.select("user_id").join(gone, "user_id", "left").fillna(0, ["out", "out_near"]).crossJoin(F.broadcast(totals)).withColumn(
+            "n", n).where(F.col("n") > 0).withColumn("r", 1 + F.pmod(draw, F.greatest(F.lit(1), pool)))
+        # Of the taken ranks those before the r-th free one have fewer than r free ranks before them.
+        rank = F.col("r") + F.coalesce(F.size(F.filter("skips", lambda x: x < F.col("r"))), F.lit(0))
+        choice = want.select("user_id", rank.cast("bigint").alias("rank")).join(ranks, "rank").select(
             "user_id", F.lit(k).alias("slot"), "contest_id", "idx", "rating")
         picks = cut_lineage(choice if picks is None else picks.unionByName(choice))
     letter = F.char(F.lit(64) + F.row_number().over(Window.partitionBy("user_id").orderBy("rating", "slot")))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellisq.functions.ladders import escaped
 from trellisq.functions.normalize import slug_key
+from trellisq.sources.files import load_or_empty
+from trellisq.sources.tables import latest_by
 
 # Fixed value: what the generator stores where it failed.
 SENTINEL = "GENERATION_FAILED"
@@ -20,6 +25,18 @@ SEARCHED = (
 )
 
 
+# How the searched fields are named to the user.
+FIELD_LABELS = {
+    "description": "description", "explanation": "explanation", "key_insight": "key insight", "worked_example": "example",
+    "when_to_use": "when to use", "variants": "variants", "pitfalls": "pitfalls", "prereqs": "prerequisites",
+    "leads_to": "advanced topics", "cpp_notes": "notes", "walkthrough": "walkthrough", "proof": "proof",
+}
+# The fields that each of the two models writes; those in the second list of each are lists.
+MATH_FIELDS = (("description", "explanation", "proof", "worked_example", "time_complexity", "space_complexity", "when_to_use", "key_insight"),
+               ("variants", "pitfalls"))
+CODE_FIELDS = (("cpp", "walkthrough", "dry_run", "template_type", "complexity_note", "usage_example"), ("cpp_notes",))
+
+
 def topic_index(topics: DataFrame) -> DataFrame:
     """(category, n, slugs): the slugs of a category in the order of entry, joined."""
     rows = F.array_sort(F.collect_list(F.struct("entry_id", "slug")))
@@ -27,16 +44,36 @@ def topic_index(topics: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.array_join(F.transform(rows, lambda r: r["slug"]), ",").alias("slugs"))
 
 
+def topic_list(topics: DataFrame) -> DataFrame:
+    """(category, entry_id, id, slug, title, tags): the topics of the index; entry_id is their order in a category."""
+    tags = F.array_join(F.coalesce("tags", F.array().cast("array<string>")), ",")
+    return topics.select(F.coalesce("category", F.lit("Uncategorized")).alias("category"), "entry_id", "id", "slug", "title", tags.alias("tags"))
+
+
 def lookup(topics: DataFrame, slug: str, hints: int = 5) -> DataFrame:
-    """The topic of that slug, else up to ``hints`` slugs that hold it, in the order of entry."""
+    """The topic of that slug alone; on a miss up to ``hints`` topics whose slug holds it, in the order of entry."""
     s = slug.strip().lower()
-    near = topics.where(F.col("slug").contains(s)).select("entry_id", "slug", "title", (F.col("slug") == s).alias("exact"))
-    best = near.orderBy(F.desc("exact"), "entry_id").limit(hints)
-    return best
+    hit = topics.where(F.col("slug") == s).select("entry_id", "slug", "title", F.lit(True).alias("exact"))
+    if hit.limit(1).count():
+        return hit
+    return topics.where(F.col("slug").contains(s)).select("entry_id", "slug", "title", F.lit(False).alias("exact")).orderBy("entry_id").limit(hints)
+
+
+def from_id(topics: DataFrame, least: int) -> DataFrame:
+    """The topics to process: ids from ``least`` on."""
+    return topics.where(F.col("id") >= least).select("id", "slug", "title")
+
+
+def available_categories(topics: DataFrame, category: str) -> DataFrame:
+    """(category): what there is instead, if no topic has that category."""
+    missed = topics.where(F.lower("category") == category.lower()).limit(1).count() == 0
+    return topics.where(F.lit(missed) & F.col("category").isNotNull()).select("category").distinct()
 
 
 def of_category(topics: DataFrame, category: str) -> DataFrame:
-    return topics.where(F.lower("category") == category.lower()).select("id", "slug", "title", "category")
+    """The topics of a category, in any case, with their place in the order of ids."""
+    of = topics.where(F.lower("category") == category.lower())
+    return of.select("id", "slug", "title", "category", F.rank().over(Window.partitionBy(F.lower("category")).orderBy("id")).cast("bigint").alias("pos"))
 
 
 def _text(topics: DataFrame, name: str) -> Column:
@@ -57,6 +94,13 @@ def search(topics: DataFrame, query: str) -> DataFrame:
         "entry_id", "slug", F.array_join("m", ",").alias("match_in"))
 
 
+def hint(match_in: Column, shown: int = 3) -> Column:
+    """in a, b, c: up to ``shown`` of the text fields in which a topic matched, by their labels; empty without one."""
+    labels = F.create_map(*[F.lit(x) for kv in FIELD_LABELS.items() for x in kv])
+    named = F.transform(F.filter(F.split(match_in, ","), lambda x: x.isin(*FIELD_LABELS)), lambda x: F.element_at(labels, x))
+    return F.when(F.size(named) > 0, F.concat(F.lit("in "), F.array_join(F.slice(named, 1, shown), ", "))).otherwise("")
+
+
 def highlighted(title: Column, query: str) -> Column:
     """The escaped title with its first match marked."""
     q = query.strip().lower()
@@ -131,6 +175,88 @@ def generate(prompts: DataFrame, model: Callable[[str], str], tries: int = 3) ->
     return prompts.select("slug", "prompt").mapInPandas(run, "slug string, description string, failed boolean")
 
 
+def histogram_rank(histogram: DataFrame) -> DataFrame:
+    """The histogram with ``pos``: largest categories first, then by name."""
+    # As many rows as there are categories.
+    return histogram.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("n"), F.col("category").asc_nulls_first())).cast("bigint"))
+
+
+def generate_entries(
+    topics: DataFrame, math: Callable[[str], str], code: Callable[[str], str], tries: int = 3, wait: float = 5.0,
+) -> DataFrame:
+    """The generated fields of each topic (slug, title, category, tags), by two dependent calls.
+
+    The second prompt quotes the answer to the first. Answers are read by
+    ``json_object``; a call that fails or answers without JSON is tried again
+    after ``wait`` seconds. After ``tries`` the sentinel stands in description
+    or cpp, template_type is ``unknown`` and the other fields are empty; fields
+    that an answer lacks are empty too.
+    """
+    text = [*MATH_FIELDS[0], *CODE_FIELDS[0]]
+    lists = [*MATH_FIELDS[1], *CODE_FIELDS[1]]
+    schema = "slug string, " + ", ".join(f"{f} string" for f in text) + ", " + ", ".join(f"{f} array<string>" for f in lists)
+
+    def ask(model: Callable[[str], str], prompt: str) -> dict | None:
+        for k in range(tries):
+            try:
+                answer = json_object(model(prompt))
+                if answer is not None:
+                    return answer
+            except Exception:  # any failure of the model is a failed try
+                pass
+            if k + 1 < tries:
+                time.sleep(wait)
+        return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for slug, request in zip(b["slug"], b["prompt"]):
+                first = ask(math, request)
+                first = {"description": SENTINEL} if first is None else first
+                context = "\n\n".join(f"{n}: {first.get(n) or ''}" for n in ("description", "explanation", "proof", "worked_example"))
+                second = ask(code, f"{request}\n\n{context}")
+                both = first | ({"cpp": f"// {SENTINEL}", "template_type": "unknown"} if second is None else second)
+                rows.append([slug, *[str(both.get(n) or "") for n in text], *[[str(x) for x in both.get(n) or []] for n in lists]])
+            yield pd.DataFrame(rows, columns=["slug", *text, *lists])
+
+    return prompt(topics).mapInPandas(run, schema)
+
+
+def json_object(raw: str) -> dict | None:
+    """The outermost JSON object of a model's answer, as ``tolerant_json`` cuts it out; None if there is none."""
+    body = re.sub(r"(?s)<think>.*?</think>", "", raw or "")
+    found = re.search(r"(?s)\{.*\}", body)
+    if not found:
+        return None
+    value = json.loads(re.sub(r'\\(?!["\\/bfnrtu])', r"\\\\", found.group()))
+    return value if isinstance(value, dict) else None
+
+
+def resumable(wanted: DataFrame, path: str, make: Callable[[DataFrame], DataFrame], steps: int = 8, again: bool = False) -> DataFrame:
+    """The stored entries at ``path`` after those of ``wanted`` (slug, ...) that it lacks were made and added.
+
+    Works through hash parts of what is pending and saves each part when it is
+    done, so a run that was stopped goes on where it ended. ``again`` makes
+    entries whose generation failed once more. The last entry of a slug holds.
+    """
+    spark = wanted.sparkSession
+    for k in range(steps):
+        part = wanted.where(F.pmod(F.xxhash64("slug"), F.lit(steps)) == k)
+        stored = load_or_empty(spark, path, "slug string, description string, cpp string, saved_at timestamp")
+        if again:
+            stored = latest_entries(stored).where(~(F.col("description").eqNullSafe(SENTINEL) | F.coalesce(F.col("cpp").contains(SENTINEL), F.lit(False))))
+        todo = part.join(stored.select("slug"), "slug", "left_anti")
+        if todo.limit(1).count():
+            make(todo).withColumn("saved_at", F.current_timestamp()).write.mode("append").parquet(path)
+    return latest_entries(spark.read.parquet(path))
+
+
+def latest_entries(stored: DataFrame) -> DataFrame:
+    rest = [c for c in stored.columns if c not in ("slug", "saved_at")]
+    return latest_by(stored, ["slug"], "saved_at", rest)
+
+
 def tolerant_json(raw: Column) -> Column:
     """The outermost JSON object of a model's answer as text; null if it has no braces.
 

@@ -13,6 +13,10 @@ LOGGED_OUT = 'href="/login"'
 TTL_SECONDS = 6 * 3600
 
 
+def _after_first(parts: Column) -> Column:
+    return F.slice(parts, F.lit(2), F.size(parts))
+
+
 def links(pages: DataFrame) -> DataFrame:
     """(page_id, url, label) of each list link."""
     pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)).alias("url"), F.regexp_extract_all("html", F.lit(LINK), F.lit(2)).alias("label"))
@@ -21,7 +25,7 @@ def links(pages: DataFrame) -> DataFrame:
 
 def sections(pages: DataFrame, skipped: str = "General") -> DataFrame:
     """(page_id, section, url) of the links below each heading, without those of the skipped one."""
-    parts = F.slice(F.split("html", "<h2>"), 2, 1_000_000)
+    parts = _after_first(F.split("html", "<h2>"))
     one = pages.select("page_id", F.explode(parts).alias("s")).select(
         "page_id", F.trim(F.split_part("s", F.lit("</h2>"), F.lit(1))).alias("section"),
         F.explode(F.regexp_extract_all("s", F.lit(LINK), F.lit(1))).alias("url"))
@@ -30,7 +34,7 @@ def sections(pages: DataFrame, skipped: str = "General") -> DataFrame:
 
 def items(pages: DataFrame) -> DataFrame:
     """(page_id, task_id, solved) of each task item whose link stands at its start."""
-    chunks = F.slice(F.split("html", '<li class="task">'), 2, 1_000_000)
+    chunks = _after_first(F.split("html", '<li class="task">'))
     one = pages.select("page_id", F.explode(chunks).alias("c"))
     return one.select(
         "page_id", F.regexp_extract("c", TASK_ID, 1).alias("id"), F.regexp_like("c", F.lit(SOLVED)).alias("solved"),

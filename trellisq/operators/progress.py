@@ -54,20 +54,37 @@ def last_solves(subs: DataFrame, problems: DataFrame) -> DataFrame:
     return solves.join(problems.select("contest_id", "idx", "rating"), ["contest_id", "idx"], "left")
 
 
-def heatmap(solves: DataFrame, as_of_date, days: int = 365) -> DataFrame:
-    """(user_id, date, n, max_rating, level, color) for every day of the year before ``as_of_date`` (a date literal).
+def heatmap(solves: DataFrame, task_solves: DataFrame, as_of_date, days: int = 365, platform: str = "both") -> DataFrame:
+    """(user_id, date, n, max_rating, n_tasks, level, color) for every day of the year before ``as_of_date`` (a date literal).
 
-    Users with a solve in that time have a row for each day.
+    task_solves: user_id, date. Users with a solve of the shown ``platform``
+    (problems, tasks or both) have a row for each day. ``level`` is the number
+    of tasks, three at most. The color is that of the hardest problem; tasks
+    give theirs only on days without a problem.
     """
+    if platform == "tasks":
+        solves = solves.limit(0)
+    if platform == "problems":
+        task_solves = task_solves.limit(0)
     spine_start = F.date_sub(as_of_date, days - 1)
     inside = solves.where(F.col("date").between(spine_start, as_of_date))
     cells = inside.groupBy("user_id", "date").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.coalesce("rating", F.lit(0))).cast("bigint").alias("max_rating"))
-    spine = inside.select("user_id").distinct().withColumn("date", F.explode(F.sequence(spine_start, as_of_date)))
-    grid = spine.join(cells, ["user_id", "date"], "left").fillna(0, ["n", "max_rating"])
+    done = task_solves.where(F.col("date").between(spine_start, as_of_date)).groupBy("user_id", "date").agg(F.count(F.lit(1)).alias("n_tasks"))
+    cells = cells.join(done, ["user_id", "date"], "full_outer")
+    spine = cells.select("user_id").distinct().withColumn("date", F.explode(F.sequence(spine_start, as_of_date)))
+    grid = spine.join(cells, ["user_id", "date"], "left").fillna(0, ["n", "max_rating", "n_tasks"])
+    level = F.least("n_tasks", F.lit(3)).cast("bigint")
     return grid.select(
-        "user_id", "date", "n", "max_rating", F.least("n", F.lit(3)).cast("bigint").alias("level"),
-        F.when(F.col("n") > 0, heat_class(F.col("max_rating"))).otherwise("").alias("color"))
+        "user_id", "date", "n", "max_rating", "n_tasks", level.alias("level"),
+        F.when(F.col("n") > 0, heat_class(F.col("max_rating"))).when(level > 0, F.concat(F.lit("tasks-"), level.cast("string"))).otherwise("").alias("color"))
+
+
+def padded_weeks(days: DataFrame) -> DataFrame:
+    """(date, week, weekday): the column and row of each day in a grid whose weeks start on Sunday (weekday 0)."""
+    first = days.agg(F.min("date").alias("first"))  # one row
+    at = F.datediff("date", "first") + F.dayofweek("first") - 1
+    return days.crossJoin(F.broadcast(first)).select("date", F.floor(at / 7).cast("bigint").alias("week"), (at % 7).cast("bigint").alias("weekday"))
 
 
 def rating_histogram(solves: DataFrame) -> DataFrame:

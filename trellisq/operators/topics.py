@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from trellisq.sources.domain import IGNORED_TAGS
 
 
+#: The largest tag vocabulary that is sent to every task as one row.
+MAX_TAGS = 100_000
+
+
 def topic_stats(subs: DataFrame, problems: DataFrame, ignored: tuple[str, ...] = IGNORED_TAGS) -> DataFrame:
     """(user_id, tag, attempted, solved, rating_sum, avg_rating).
 
@@ -50,6 +54,8 @@ def explore_tags(users: DataFrame, subs: DataFrame, problems: DataFrame, ignored
     The tag vocabulary is one array, so users are never paired with rows.
     """
     words = problems.select(F.explode("tags").alias("tag")).where(~F.col("tag").isin(*ignored)).distinct()
+    if words.limit(MAX_TAGS + 1).count() > MAX_TAGS:
+        raise ValueError(f"more than {MAX_TAGS} tags: the vocabulary is sent to every task")
     every = words.agg(F.array_sort(F.collect_list("tag")).alias("every"))  # one row of the tag vocabulary
     known = solved_tags(subs, problems, ignored).groupBy("user_id").agg(F.collect_set("tag").alias("known"))
     return users.select("user_id").join(known, "user_id", "left").crossJoin(F.broadcast(every)).select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from trellisq.operators import profile as P
 from trellisq.operators import progress as G
 from trellisq.operators import recommend as R
 from trellisq.operators import reports
+from trellisq.operators import requests as Q
 from trellisq.operators import topics as T
 from trellisq.sources import domain as D
 from trellisq.sources.tables import table
@@ -125,8 +128,9 @@ def q_recommend_mixed(s, d):
 
 
 def _series(s, d):
-    act = D.activity(s, d)
-    return G.daily(act, D.rating_changes(act))
+    # Days come from the submissions; the rating history stands in the activity feed.
+    subs = D.submissions(s, d).select("user_id", F.to_date("at").alias("date"), "ok")
+    return G.daily(subs, D.rating_changes(D.activity(s, d)))
 
 
 @query
@@ -156,7 +160,21 @@ def q_streaks(s, d):
 
 @query
 def q_heatmap(s, d):
-    return G.heatmap(G.last_solves(D.submissions(s, d), D.problems(s, d)), _as_of(s, d))
+    as_of, tasks = _as_of(s, d), D.task_solves(s, d)
+    # The task tables end years before the submissions: their last day is put on the last day shown.
+    last = F.lit(tasks.agg(F.max("date")).first()[0]).cast("date")
+    shifted = tasks.select("user_id", F.date_add("date", F.datediff(as_of, last)).alias("date"))
+    return G.heatmap(G.last_solves(D.submissions(s, d), D.problems(s, d)), shifted, as_of)
+
+
+@query
+def q_week_grid(s, d):
+    return G.padded_weeks(D.submissions(s, d).select(F.to_date("at").alias("date")).distinct())
+
+
+@query
+def q_solved_list(s, d):
+    return D.accepted_list(s, d)
 
 
 @query
@@ -245,6 +263,57 @@ def q_contest_search(s, d):
     return C.contest_search(_contests(s, d), " Spring Round 1")
 
 
+@query
+def q_contest_search_category(s, d):
+    return C.contest_search(_contests(s, d), "round", "Div. 2")
+
+
+@query
+def q_contest_problems(s, d):
+    return C.contest_problems(D.contests(s, d), D.problems(s, d), D.statistics(s, d))
+
+
+@query
+def q_contest_categories(s, d):
+    return C.category_counts(_contests(s, d))
+
+
+@query
+def q_contest_series(s, d):
+    prefix = F.element_at(F.array(*[F.lit(x) for x in ("abc", "arc", "agc", "past")]), (F.pmod("contest_id", F.lit(4)) + 1).cast("int"))
+    label = F.concat(prefix, F.col("contest_id").cast("string"))
+    return D.contests(s, d).select("contest_id", L.series(label).alias("series"))
+
+
+@query
+def q_platform_dispatch(s, d):
+    """The catalogue as asked for by platform: one, the other, and any other word."""
+    a, b = C.catalog(D.problems(s, d), D.statistics(s, d)), C.task_catalog(D.tasks(s, d))
+    asked = [C.dispatched(a, b, p).select(F.lit(p).alias("asked"), "platform", "name") for p in ("problems", "tasks", "all")]
+    return asked[0].unionByName(asked[1]).unionByName(asked[2]).groupBy("asked", "platform").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q_request_parse(s, d):
+    """Requests as users would send them: some parameters missing, blank or padded."""
+    u = D.users(s, d)
+    none = F.lit(None).cast("string")
+    params = F.map_filter(F.create_map(
+        F.lit("handle"), F.col("handle"), F.lit("count"), F.when(F.col("user_id") % 3 == 0, (F.col("user_id") % 20).cast("string")).otherwise(none),
+        F.lit("mode"), F.when(F.col("user_id") % 2 == 0, "grind").otherwise(none),
+        F.lit("tags"), F.when(F.col("user_id") % 5 == 0, " dp , greedy").when(F.col("user_id") % 5 == 1, "").otherwise(none),
+        F.lit("min_rating"), F.when(F.col("rating").isNull(), "").otherwise(F.concat(F.lit(" "), F.col("rating").cast("string"))),
+        F.lit("max_rating"), F.col("max_rating").cast("string")), lambda k, v: v.isNotNull())
+    parsed = Q.parsed(u.select(F.col("user_id").alias("request_id"), params.alias("params")))
+    return parsed.withColumn("tag_filter", F.array_join("tag_filter", ","))
+
+
+@query
+def q_api_envelope(s, d):
+    counts = C.category_counts(_contests(s, d))
+    return Q.envelope(counts, [F.col("category")])
+
+
 @query
 def q_contest_page(s, d):
     return C.contest_page(_contests(s, d), 2)
@@ -257,13 +326,18 @@ def q_contest_progress(s, d):
 
 @query
 def q_div_contests(s, d):
-    return C.div_contests(D.contests(s, d), D.problems(s, d), 2)
+    return C.div_contests(D.users(s, d), D.submissions(s, d), D.contests(s, d), D.problems(s, d), 2)
 
 
 @query
 def q_contest_targets(s, d):
-    rows = [(div, n, k + 1, t) for div in (1, 2, 3, 4, 5) for n in range(3, 13) for k, t in enumerate(C.slot_targets(div, C.clamped_count(n)))]
-    return s.createDataFrame(rows, "division int, asked int, slot int, target int")
+    """The slots of a virtual contest of each stored contest's division (a missing one counts as 2), as long as its catalogue entry asks."""
+    rows = [(div, n, k + 1, t) for div in (1, 2, 3, 4) for n in range(3, 11) for k, t in enumerate(C.slot_targets(div, n))]
+    schedule = s.createDataFrame(rows, "division int, slots bigint, slot int, target int")  # a fixed table of 208 rows
+    asked = _contests(s, d).join(D.contests(s, d).select("contest_id", "division"), "contest_id").select(
+        "contest_id", F.when(F.col("division").between(1, 4), F.col("division")).otherwise(2).cast("int").alias("division"),
+        F.greatest(F.lit(3), F.least(F.lit(10), "n_problems")).cast("bigint").alias("slots"))
+    return asked.join(F.broadcast(schedule), ["division", "slots"]).select("contest_id", "slot", "target")
 
 
 @query
@@ -283,9 +357,37 @@ def q_topic_index(s, d):
 
 @query
 def q_topic_lookup(s, d):
+    """A hit: the first slug of all, which other slugs may hold."""
+    t = D.topics(s, d)
+    return K.lookup(t, t.agg(F.min("slug")).first()[0])
+
+
+@query
+def q_topic_hints(s, d):
+    """A miss: what holds the word."""
     return K.lookup(D.topics(s, d), "hull")
 
 
+@query
+def q_topic_list(s, d):
+    return K.topic_list(D.topics(s, d))
+
+
+@query
+def q_topics_from_id(s, d):
+    return K.from_id(D.topics(s, d), 50)
+
+
+@query
+def q_category_miss(s, d):
+    return K.available_categories(D.topics(s, d), "No Such Category")
+
+
+@query
+def q_search_hint(s, d):
+    return K.search(D.topics(s, d), " Hull ").select("entry_id", K.hint(F.col("match_in")).alias("hint"))
+
+
 @query
 def q_topic_category(s, d):
     return K.of_category(D.topics(s, d), "GRAPHS")
@@ -308,7 +410,7 @@ def q_kb_stats(s, d):
 
 @query
 def q_kb_histogram(s, d):
-    return K.histogram(D.topics(s, d))
+    return K.histogram_rank(K.histogram(D.topics(s, d)))
 
 
 @query
@@ -324,14 +426,18 @@ def q_kb_latest(s, d):
 @query
 def q_kb_pending(s, d):
     edges = table(s, d, "connections")
-    wanted = edges.select(F.col("from_slug").alias("slug")).unionByName(edges.select(F.col("to_slug").alias("slug"))).unionByName(
+    core = table(s, d, "core_topics").select("slug")
+    wanted = core.unionByName(edges.select(F.col("from_slug").alias("slug")).unionByName(edges.select(F.col("to_slug").alias("slug")))).unionByName(
         table(s, d, "db").select(F.explode("prereqs").alias("slug")))
     return K.pending(wanted, D.topics(s, d))
 
 
 @query
 def q_kb_upsert(s, d):
-    new = table(s, d, "core_topics").select(slug_key(F.col("slug")).alias("slug"), "title", "category")
+    # New topics, and every tenth stored one under a new title.
+    t = D.topics(s, d)
+    new = table(s, d, "core_topics").select(slug_key(F.col("slug")).alias("slug"), "title", "category").unionByName(
+        t.where(F.col("entry_id") % 10 == 0).select("slug", F.concat(F.lit("New: "), F.coalesce("title", F.lit(""))).alias("title"), "category"))
     return K.upsert(D.topics(s, d), new, ["title", "category"])
 
 
@@ -346,9 +452,31 @@ def q_kb_generate(s, d):
     return K.generate(K.prompt(D.topics(s, d)), lambda p: p.split("\n")[0])
 
 
+@query
+def q_kb_entries(s, d):
+    """Two dependent calls of offline stand-ins: the first names the topic, the second counts what it was told; both fail at times."""
+    def math(p: str) -> str:
+        title = p.split("\n")[0].removeprefix("Topic: ")
+        if len(title) % 7 == 0:
+            raise TimeoutError
+        return "<think>{}</think>\n```json\n" + json.dumps({"description": f"About {title}", "variants": ["plain", title]}) + "\n```"
+
+    def code(p: str) -> str:
+        said = [x.removeprefix("description: ") for x in p.split("\n") if x.startswith("description: ")][0]
+        return json.dumps({"cpp": f"// {said}", "cpp_notes": []}) if len(said) % 5 else "no answer"
+
+    done = K.generate_entries(D.topics(s, d), math, code, wait=0)
+    return done.select("slug", "description", "proof", F.array_join("variants", "|").alias("variants"), "cpp", "template_type", F.size("cpp_notes").cast("bigint").alias("n_notes"))
+
+
 @query
 def q_json_extract(s, d):
-    raw = F.concat(F.lit("<think>{\n\"k\": 0}</think>\n```json\n"), F.col("props"), F.lit("\n```"))
+    k, p = F.col("event_id") % 4, F.col("props")
+    raw = (
+        F.when(k == 0, F.concat(F.lit("<think>{\n\"k\": 0}</think>\n```json\n"), p, F.lit("\n```")))
+        .when(k == 1, F.concat(F.lit("Here it is: "), p, F.lit(" - done")))
+        .when(k == 2, F.concat(F.lit("```\n{\"s\": \"\\(a\\)\", "), F.substring(p, F.lit(2), F.length(p)), F.lit("\n```")))
+        .otherwise("nothing to read"))
     return table(s, d, "events").select("event_id", F.get_json_object(K.tolerant_json(raw), "$.k").cast("bigint").alias("k"))
 
 
@@ -427,7 +555,7 @@ def q_report_topics(s, d):
 
 @query
 def q_stream_daily_activity(s, d):
-    return J.daily_activity(J.activity_stream(s, d))
+    return J.daily_activity(J.submission_stream(s, d))
 
 
 @query

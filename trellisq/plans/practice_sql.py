@@ -50,7 +50,7 @@ _CTE = {
     "kb": """SELECT * EXCLUDE (rn, slug), lower(trim(slug)) AS slug FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(slug)) ORDER BY entry_id DESC) AS rn FROM db) WHERE rn = 1""",
     "act": "SELECT event_id, user_id, ts, CAST(ts AS DATE) AS date, event_type = 'purchase' AS ok, event_type, value FROM events",
     "daily": """SELECT coalesce(a.user_id, r.user_id) AS user_id, coalesce(a.date, r.date) AS date, coalesce(attempted, 0) AS attempted,
-      coalesce(solved, 0) AS solved, rating FROM (SELECT user_id, date, count(*) AS attempted, count(*) FILTER (ok) AS solved FROM act GROUP BY ALL) a
+      coalesce(solved, 0) AS solved, rating FROM (SELECT user_id, CAST(sent AS DATE) AS date, count(*) AS attempted, count(*) FILTER (ok) AS solved FROM s GROUP BY ALL) a
       FULL JOIN (SELECT user_id, date, CAST(floor(arg_max(value, ts) * 5) AS BIGINT) AS rating FROM act WHERE event_type = 'signup' GROUP BY ALL) r
       ON a.user_id = r.user_id AND a.date = r.date""",
     "tk": """SELECT p_partkey AS task_id, p_name AS name, p_type AS category, coalesce(n, 0) AS solved_count,
@@ -66,7 +66,7 @@ _CTE = {
 _NEEDS = {
     "solved": ["s"], "tried": ["s"], "pt": ["p"], "topic": ["s", "p", "pt"], "weakrank": ["topic"], "weak": ["weakrank"],
     "explore": ["u", "pt", "topic"], "cand": ["u", "p", "tried", "solved"], "wweak": ["weak"], "wexplore": ["explore"], "cls": ["c"],
-    "nat": ["p"], "cat": ["cls", "nat"], "last": ["s", "p"], "daily": ["act"], "pg": ["p", "stats"],
+    "nat": ["p"], "cat": ["cls", "nat"], "last": ["s", "p"], "daily": ["s", "act"], "pg": ["p", "stats"],
 }
 
 
@@ -122,19 +122,22 @@ def _virtual() -> str:
     ctes = []
     for k, t in enumerate([800, 1100, 1400, 1700, 2100]):
         used = "".join(f" AND NOT EXISTS (SELECT 1 FROM v{j} WHERE v{j}.user_id = u.user_id AND v{j}.contest_id = p.contest_id AND v{j}.idx = p.idx)" for j in range(k))
-        ctes.append(f"""v{k} AS (SELECT user_id, {k} AS slot, contest_id, idx, rating FROM (SELECT u.user_id, p.contest_id, p.idx, p.rating,
-          row_number() OVER (PARTITION BY u.user_id ORDER BY abs(p.rating - {t}), p.contest_id, p.idx) AS rn FROM u JOIN p ON abs(p.rating - {t}) <= 400
-          WHERE NOT EXISTS (SELECT 1 FROM solved s WHERE s.user_id = u.user_id AND s.contest_id = p.contest_id AND s.idx = p.idx){used}) WHERE rn = 1)""")
+        ctes.append(f"""w{k} AS (SELECT u.user_id, p.contest_id, p.idx, p.rating, abs(p.rating - {t}) AS off FROM u JOIN p ON abs(p.rating - {t}) <= 400
+          WHERE NOT EXISTS (SELECT 1 FROM solved s WHERE s.user_id = u.user_id AND s.contest_id = p.contest_id AND s.idx = p.idx){used}),
+          n{k} AS (SELECT user_id, CASE WHEN count(*) FILTER (off <= 200) >= 3 THEN count(*) FILTER (off <= 200) ELSE count(*) END AS n FROM w{k} GROUP BY user_id),
+          v{k} AS (SELECT user_id, {k} AS slot, contest_id, idx, rating FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY off, contest_id, idx) AS rn FROM w{k}) JOIN n{k} USING (user_id)
+          WHERE rn = 1 + CAST('0x' || substr(md5(user_id || '/{k}/7'), 1, 8) AS BIGINT) % least(n, greatest(20, n // 4)))""")
     union = " UNION ALL ".join(f"SELECT * FROM v{k}" for k in range(5))
     return ", " + ",\n".join(ctes) + f"""
     SELECT user_id, chr(CAST(64 + row_number() OVER (PARTITION BY user_id ORDER BY rating, slot) AS INT)) AS letter, contest_id, idx, CAST(rating AS BIGINT) AS rating FROM ({union})"""
 
 
-def _ladder(steps: str, top: str) -> str:
-    return "CASE " + " ".join(f"WHEN r < {b} THEN '{n}'" for b, n in (x.split(":") for x in steps.split())) + f" ELSE '{top}' END"
-
-
-_SEVEN = "1200:newbie 1400:pupil 1600:specialist 1900:expert 2100:cm 2300:master"
+# The classes of ratings below 2300, as the heat map, the list and the practice view share them.
+_BELOW_2300 = """WHEN r < 1200 THEN 'newbie' WHEN r < 1400 THEN 'pupil' WHEN r < 1600 THEN 'specialist' WHEN r < 1900 THEN 'expert'
+  WHEN r < 2100 THEN 'cm' WHEN r < 2300 THEN 'master'"""
+_HEAT = f"CASE {_BELOW_2300} ELSE 'gm' END"
+_LIST = f"CASE {_BELOW_2300} WHEN r < 2600 THEN 'gm' ELSE 'lgm' END"
+_PRACTICE = f"CASE {_BELOW_2300} WHEN r < 2400 THEN 'im' WHEN r < 2600 THEN 'gm' ELSE 'lgm' END"
 
 
 def _search() -> str:
@@ -152,6 +155,10 @@ _EDGES = """WITH RECURSIVE e AS (SELECT DISTINCT lower(trim(from_slug)) AS paren
 n AS (SELECT parent AS slug FROM e UNION SELECT child FROM e),
 w AS (SELECT slug, CAST(0 AS BIGINT) AS depth FROM n WHERE slug NOT IN (SELECT child FROM e) UNION ALL SELECT e.child, w.depth + 1 FROM w JOIN e ON e.parent = w.slug)"""
 
+_BREAKDOWN = _with("topic weak", """SELECT user_id, tag, solved, attempted, CAST(floor(coalesce(avg_rating, 0)) AS BIGINT) AS avg, round(solved * 100.0::DOUBLE / greatest(attempted, 1), 6) AS pct,
+      least(25, solved // 2) AS bar, EXISTS (SELECT 1 FROM weak w WHERE w.user_id = x.user_id AND w.tag = x.tag) AS weak
+      FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY solved DESC, tag) AS rn FROM topic WHERE solved > 0) x WHERE rn <= 20""")
+
 SQL = {
     "q_solved_keys": _with("solved", "SELECT * FROM solved"),
     "q_user_stats": _with("u s", """SELECT u.user_id, u.rating, u.max_rating, u.target, coalesce(a, 0) AS solved_count, coalesce(b, 0) AS attempted_count FROM u
@@ -167,9 +174,7 @@ SQL = {
     "q_weak_tags": _with("weak", "SELECT * FROM weak"),
     "q_weak_tags_top6": _with("weakrank", "SELECT user_id, rank, tag FROM weakrank WHERE rank <= 6"),
     "q_explore_tags": _with("explore", "SELECT * FROM explore"),
-    "q_topic_breakdown": _with("topic weak", """SELECT user_id, tag, solved, attempted, CAST(floor(coalesce(avg_rating, 0)) AS BIGINT) AS avg, round(solved * 100.0::DOUBLE / greatest(attempted, 1), 6) AS pct,
-      least(25, solved // 2) AS bar, EXISTS (SELECT 1 FROM weak w WHERE w.user_id = x.user_id AND w.tag = x.tag) AS weak
-      FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY solved DESC, tag) AS rn FROM topic WHERE solved > 0) x WHERE rn <= 20"""),
+    "q_topic_breakdown": _BREAKDOWN,
     **{f"q_recommend_{m}": _with(f"cand {'wexplore' if m == 'explore' else 'wweak'}", f"SELECT user_id, pos, contest_id, idx, score FROM ({_recommend(m)})")
        for m in ("balanced", "explore", "grind", "stretch", "weak_topics")},
     "q_recommend_tasks": _with("u tk stk", f"SELECT user_id, pos, task_id, score FROM ({_tasks()})"),
@@ -189,18 +194,24 @@ SQL = {
       LEFT JOIN (SELECT * FROM runs WHERE kind = 'a') a USING (user_id) LEFT JOIN (SELECT * FROM runs WHERE kind = 'o') o USING (user_id)"""),
     "q_heatmap": _with("last", f""", today AS (SELECT max(CAST(submitted_at AS DATE)) AS t FROM submissions),
       inside AS (SELECT last.* FROM last, today WHERE date BETWEEN t - 364 AND t),
+      first_done AS (SELECT o_custkey AS user_id, l_partkey, min(CAST(o_orderdate AS DATE)) AS date FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'N' GROUP BY ALL),
+      moved AS (SELECT user_id, date + CAST(t - (SELECT max(date) FROM first_done) AS INT) AS date, t FROM first_done, today),
+      tasked AS (SELECT user_id, date, count(*) AS k FROM moved WHERE date BETWEEN t - 364 AND t GROUP BY ALL),
       cell AS (SELECT user_id, date, count(*) AS n, max(coalesce(rating, 0)) AS r FROM inside GROUP BY ALL),
-      spine AS (SELECT user_id, CAST(unnest(generate_series(t - 364, t, INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT DISTINCT user_id FROM inside), today)
-      SELECT user_id, date, coalesce(n, 0) AS n, coalesce(CAST(r AS BIGINT), 0) AS max_rating, least(coalesce(n, 0), 3) AS level,
-        CASE WHEN n > 0 THEN {_ladder(_SEVEN, 'gm')} ELSE '' END AS color FROM spine LEFT JOIN cell USING (user_id, date)"""),
+      spine AS (SELECT user_id, CAST(unnest(generate_series(t - 364, t, INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT user_id FROM cell UNION SELECT user_id FROM tasked), today)
+      SELECT user_id, date, coalesce(n, 0) AS n, coalesce(CAST(r AS BIGINT), 0) AS max_rating, coalesce(k, 0) AS n_tasks, least(coalesce(k, 0), 3) AS level,
+        CASE WHEN n > 0 THEN {_HEAT} WHEN k > 0 THEN 'tasks-' || least(k, 3) ELSE '' END AS color FROM spine LEFT JOIN cell USING (user_id, date) LEFT JOIN tasked USING (user_id, date)"""),
+    "q_week_grid": _with("s", """, d AS (SELECT DISTINCT CAST(sent AS DATE) AS date FROM s), f AS (SELECT min(date) AS first FROM d)
+      SELECT date, CAST((date - first + dayofweek(first)) // 7 AS BIGINT) AS week, CAST(dayofweek(date) AS BIGINT) AS weekday FROM d, f"""),
+    "q_solved_list": _with("s", "SELECT user_id, contest_id, idx FROM s WHERE ok"),
     "q_rating_histogram": _with("last", "SELECT user_id, CAST(rating AS BIGINT) AS rating, count(*) AS n FROM last WHERE coalesce(rating, 0) <> 0 GROUP BY ALL"),
     "q_tag_topn_other": _with("last pt", """SELECT user_id, CASE WHEN rn <= 9 THEN tag ELSE 'other' END AS tag, CAST(sum(n) AS BIGINT) AS n FROM (
       SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, tag) AS rn FROM (SELECT user_id, tag, count(*) AS n FROM last JOIN pt USING (contest_id, idx) GROUP BY ALL)) GROUP BY ALL"""),
     "q_dashboard_totals": _with("u solved stk", """SELECT user_id, coalesce(a, 0) AS solved_problems, coalesce(b, 0) AS solved_tasks, coalesce(a, 0) + coalesce(b, 0) AS total FROM u
       LEFT JOIN (SELECT user_id, count(*) AS a FROM solved GROUP BY 1) USING (user_id) LEFT JOIN (SELECT user_id, count(*) AS b FROM stk GROUP BY 1) USING (user_id)"""),
     "q_first_seen": _with("s", "SELECT user_id, contest_id, idx, min(CAST(sent AS DATE)) AS date FROM s WHERE ok GROUP BY ALL"),
-    "q_rating_ladders": _with("u", f"""SELECT user_id, {_ladder(_SEVEN, 'gm')} AS heat, CASE WHEN r = 0 THEN '' ELSE {_ladder(_SEVEN + ' 2600:gm', 'lgm')} END AS list,
-      {_ladder(_SEVEN + ' 2400:im 2600:gm', 'lgm')} AS practice FROM (SELECT user_id, coalesce(rating, 0) AS r FROM u)"""),
+    "q_rating_ladders": _with("u", f"""SELECT user_id, {_HEAT} AS heat, CASE WHEN r = 0 THEN '' ELSE {_LIST} END AS list,
+      {_PRACTICE} AS practice FROM (SELECT user_id, coalesce(rating, 0) AS r FROM u)"""),
     "q_classify_contest": _with("cls", "SELECT contest_id, category FROM cls"),
     "q_natural_sort": _with("c", """SELECT contest_id, label, row_number() OVER (PARTITION BY contest_id ORDER BY
       CASE WHEN length(label) = 1 THEN 0 WHEN regexp_matches(label, '[0-9]') THEN 1 ELSE 2 END,
@@ -222,37 +233,70 @@ SQL = {
       SELECT *, CAST(greatest(1, ceil(count(*) OVER (PARTITION BY category) / 75.0)) AS BIGINT) AS pages FROM cat)) WHERE (pos - 1) // 75 + 1 = page"""),
     "q_contest_progress": _with("solved p", """SELECT user_id, contest_id, count(*) AS solved, any_value(total) AS total FROM solved JOIN p USING (contest_id, idx)
       JOIN (SELECT contest_id, count(*) AS total FROM p GROUP BY 1) USING (contest_id) GROUP BY user_id, contest_id"""),
-    "q_div_contests": _with("c nat", """SELECT row_number() OVER (ORDER BY contest_id DESC) AS pos, contest_id, name, array_to_string(l[1:3], ',') AS samples FROM
-      (SELECT contest_id, name FROM c WHERE phase = 'FINISHED' AND contains(name, 'Div. 2') ORDER BY contest_id DESC LIMIT 50)
-      JOIN (SELECT contest_id, list(idx ORDER BY k, n, t, idx) AS l FROM nat GROUP BY 1) USING (contest_id)"""),
-    "q_contest_targets": """WITH b AS (SELECT * FROM (VALUES (1, [1900, 2100, 2300, 2600, 2900]), (2, [800, 1100, 1400, 1700, 2100]), (3, [800, 900, 1100, 1300, 1500, 1700]),
-      (4, [800, 800, 900, 1000, 1100, 1200, 1400]), (5, [800, 1100, 1400, 1700, 2100])) t(division, base))
-      SELECT division, CAST(asked AS INT) AS asked, CAST(slot AS INT) AS slot, CAST(CASE WHEN slot <= len(base) THEN base[slot]
-        ELSE least(3500, base[len(base)] + (slot - len(base)) * CASE WHEN division >= 3 THEN 100 ELSE 200 END) END AS INT) AS target
-      FROM b, range(3, 13) a(asked), range(1, 11) s(slot) WHERE slot <= greatest(3, least(10, asked))""",
+    "q_contest_search_category": _with("cat", "SELECT category, contest_id, name FROM cat WHERE category = 'Div. 2' AND (contains(lower(name), 'round') OR contains(CAST(contest_id AS VARCHAR), 'round'))"),
+    "q_contest_problems": _with("cls p stats", """SELECT category, contest_id, cls.name AS contest, p.idx, p.name, p.rating, coalesce(stat, 0) AS solved_count
+      FROM cls JOIN p USING (contest_id) LEFT JOIN stats USING (contest_id, idx) WHERE phase = 'FINISHED'"""),
+    "q_contest_categories": _with("cat", """SELECT category, count(contest_id) AS n FROM (SELECT unnest(['Combined', 'Div. 1', 'Div. 2', 'Div. 3', 'Div. 4', 'Educational', 'Global Round', 'Other']) AS category)
+      LEFT JOIN cat USING (category) GROUP BY category"""),
+    "q_contest_series": _with("c", "SELECT contest_id, CASE contest_id % 4 WHEN 0 THEN 'ABC' WHEN 1 THEN 'ARC' WHEN 2 THEN 'AGC' ELSE 'Other' END AS series FROM c"),
+    "q_platform_dispatch": _with("p tk", """SELECT 'problems' AS asked, platform, count(*) AS n FROM p GROUP BY platform UNION ALL SELECT 'tasks', 'tasks', count(*) FROM tk
+      UNION ALL SELECT 'all', platform, count(*) FROM p GROUP BY platform UNION ALL SELECT 'all', 'tasks', count(*) FROM tk"""),
+    "q_request_parse": _with("u", """SELECT user_id AS request_id, handle, CAST(CASE WHEN user_id % 3 = 0 THEN user_id % 20 ELSE 8 END AS INT) AS count,
+      CASE WHEN user_id % 2 = 0 THEN 'grind' ELSE 'balanced' END AS mode, CASE WHEN user_id % 5 = 0 THEN 'dp,greedy' END AS tag_filter, rating AS min_rating, max_rating,
+      NULL::VARCHAR AS platform_filter FROM u"""),
+    "q_api_envelope": _with("cat", """, n AS (SELECT category, count(contest_id) AS n FROM (SELECT unnest(['Combined', 'Div. 1', 'Div. 2', 'Div. 3', 'Div. 4', 'Educational', 'Global Round', 'Other']) AS category)
+      LEFT JOIN cat USING (category) GROUP BY category)
+      SELECT true AS success, count(*) AS count, '[' || string_agg('{"category":"' || category || '","n":' || n || '}', ',' ORDER BY category) || ']' AS data FROM n"""),
+    "q_div_contests": _with("u c nat solved", """, chosen AS (SELECT contest_id, name FROM c WHERE phase = 'FINISHED' AND contains(name, 'Div. 2') ORDER BY contest_id DESC LIMIT 50),
+      open AS (SELECT u.user_id, chosen.contest_id, chosen.name, nat.idx, row_number() OVER (PARTITION BY u.user_id, chosen.contest_id ORDER BY k, n, t, nat.idx) AS nth FROM u, chosen JOIN nat USING (contest_id)
+        WHERE NOT EXISTS (SELECT 1 FROM solved WHERE solved.user_id = u.user_id AND solved.contest_id = nat.contest_id AND solved.idx = nat.idx))
+      SELECT * FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY contest_id DESC) AS pos, contest_id, name, count(*) AS unsolved,
+        string_agg(idx, ',' ORDER BY nth) FILTER (nth <= 3) AS samples FROM open GROUP BY user_id, contest_id, name) WHERE pos <= 5"""),
+    "q_contest_targets": _with("cat c", """, b AS (SELECT * FROM (VALUES (1, [1900, 2100, 2300, 2600, 2900]), (2, [800, 1100, 1400, 1700, 2100]), (3, [800, 900, 1100, 1300, 1500, 1700]),
+      (4, [800, 800, 900, 1000, 1100, 1200, 1400])) t(division, base))
+      SELECT contest_id, CAST(slot AS INT) AS slot, CAST(CASE WHEN slot <= len(base) THEN base[slot]
+        ELSE least(3500, base[len(base)] + (slot - len(base)) * CASE WHEN b.division >= 3 THEN 100 ELSE 200 END) END AS INT) AS target
+      FROM cat JOIN c USING (contest_id) JOIN b ON b.division = CASE WHEN c.division BETWEEN 1 AND 4 THEN c.division ELSE 2 END, range(1, 11) s(slot)
+      WHERE slot <= greatest(3, least(10, n_problems))"""),
     "q_contest_solved": _with("s p", """SELECT DISTINCT user_id, contest_id, idx FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sent DESC, submission_id DESC) AS rn FROM s)
       SEMI JOIN p USING (contest_id, idx) WHERE rn <= 50 AND ok"""),
     "q_virtual_contest": _with("u p solved", _virtual()),
     "q_topic_index": _with("kb", "SELECT coalesce(category, 'Uncategorized') AS category, count(*) AS n, string_agg(slug, ',' ORDER BY entry_id) AS slugs FROM kb GROUP BY 1"),
-    "q_topic_lookup": _with("kb", "SELECT entry_id, slug, title, slug = 'hull' AS exact FROM kb WHERE contains(slug, 'hull') ORDER BY exact DESC, entry_id LIMIT 5"),
-    "q_topic_category": _with("kb", "SELECT id, slug, title, category FROM kb WHERE lower(category) = 'graphs'"),
+    "q_topic_lookup": _with("kb", "SELECT entry_id, slug, title, true AS exact FROM kb WHERE slug = (SELECT min(slug) FROM kb)"),
+    "q_topic_hints": _with("kb", "SELECT entry_id, slug, title, false AS exact FROM kb WHERE contains(slug, 'hull') ORDER BY entry_id LIMIT 5"),
+    "q_topic_list": _with("kb", "SELECT coalesce(category, 'Uncategorized') AS category, entry_id, id, slug, title, array_to_string(list_filter(coalesce(tags, []), lambda x: x IS NOT NULL), ',') AS tags FROM kb"),
+    "q_topics_from_id": _with("kb", "SELECT id, slug, title FROM kb WHERE id >= 50"),
+    "q_category_miss": _with("kb", "SELECT DISTINCT category FROM kb WHERE category IS NOT NULL"),
+    "q_search_hint": "WITH m AS (" + _with("kb", _search()) + """), f AS (SELECT entry_id, list_filter(string_split(match_in, ','), lambda x: x NOT IN ('title', 'category', 'tags')) AS l FROM m),
+      n AS (SELECT entry_id, list_transform(l[1:3], lambda x: CASE x WHEN 'key_insight' THEN 'key insight' WHEN 'worked_example' THEN 'example' WHEN 'when_to_use' THEN 'when to use'
+        WHEN 'prereqs' THEN 'prerequisites' WHEN 'leads_to' THEN 'advanced topics' WHEN 'cpp_notes' THEN 'notes' ELSE x END) AS l FROM f)
+      SELECT entry_id, CASE WHEN len(l) > 0 THEN 'in ' || array_to_string(l, ', ') ELSE '' END AS hint FROM n""",
+    "q_topic_category": _with("kb", "SELECT id, slug, title, category, rank() OVER (PARTITION BY lower(category) ORDER BY id) AS pos FROM kb WHERE lower(category) = 'graphs'"),
     "q_search": _with("kb", _search()),
     "q_search_highlight": _with("kb", """SELECT slug, CASE WHEN strpos(lower(title), 'hull') > 0 THEN
       title[1:strpos(lower(title), 'hull') - 1] || '<mark>' || title[strpos(lower(title), 'hull'):strpos(lower(title), 'hull') + 3] || '</mark>' || title[strpos(lower(title), 'hull') + 4:]
       ELSE title END AS marked FROM kb"""),
     "q_kb_stats": _with("kb", "SELECT count(*) AS total, count(*) FILTER (description = 'GENERATION_FAILED') AS math_failures, count(*) FILTER (contains(cpp, 'GENERATION_FAILED')) AS code_failures FROM kb"),
-    "q_kb_histogram": _with("kb", "SELECT category, n, n * 30 // max(n) OVER () AS bar FROM (SELECT category, count(*) AS n FROM kb GROUP BY 1)"),
+    "q_kb_histogram": _with("kb", "SELECT category, n, n * 30 // max(n) OVER () AS bar, row_number() OVER (ORDER BY n DESC, category NULLS FIRST) AS pos FROM (SELECT category, count(*) AS n FROM kb GROUP BY 1)"),
     "q_kb_failed": _with("kb", """SELECT slug, a AS math_failed, b AS code_failed FROM (SELECT slug, coalesce(description = 'GENERATION_FAILED', false) AS a,
       coalesce(contains(cpp, 'GENERATION_FAILED'), false) AS b FROM kb) WHERE a OR b"""),
     "q_kb_latest": _with("kb", "SELECT slug, entry_id, title FROM kb"),
-    "q_kb_pending": _with("kb", """SELECT DISTINCT slug FROM (SELECT lower(trim(from_slug)) AS slug FROM connections UNION SELECT lower(trim(to_slug)) FROM connections
+    "q_kb_pending": _with("kb", """SELECT DISTINCT slug FROM (SELECT lower(trim(slug)) AS slug FROM core_topics UNION SELECT lower(trim(from_slug)) FROM connections UNION SELECT lower(trim(to_slug)) FROM connections
       UNION SELECT lower(trim(p)) FROM (SELECT unnest(prereqs) AS p FROM db))
       WHERE slug IS NOT NULL AND slug NOT IN (SELECT slug FROM kb WHERE slug IS NOT NULL)"""),
-    "q_kb_upsert": _with("kb", """SELECT slug, title, category FROM kb WHERE slug NOT IN (SELECT lower(trim(slug)) FROM core_topics)
-      UNION ALL SELECT lower(trim(slug)), title, category FROM core_topics"""),
+    "q_kb_upsert": _with("kb", """, fresh AS (SELECT lower(trim(slug)) AS slug, title, category FROM core_topics
+        UNION ALL SELECT slug, 'New: ' || coalesce(title, ''), category FROM kb WHERE entry_id % 10 = 0)
+      SELECT slug, title, category FROM kb WHERE slug NOT IN (SELECT slug FROM fresh) UNION ALL SELECT * FROM fresh"""),
+    "q_kb_generate": _with("kb", "SELECT slug, 'Topic: ' || coalesce(title, '') AS description, false AS failed FROM kb"),
+    "q_kb_entries": _with("kb", """SELECT slug, description, '' AS proof, CASE WHEN description = 'GENERATION_FAILED' THEN '' ELSE 'plain|' || t END AS variants,
+      CASE WHEN length(description) % 5 = 0 THEN '// GENERATION_FAILED' ELSE '// ' || description END AS cpp, CASE WHEN length(description) % 5 = 0 THEN 'unknown' ELSE '' END AS template_type,
+      CAST(0 AS BIGINT) AS n_notes FROM (SELECT slug, t, CASE WHEN length(t) % 7 = 0 THEN 'GENERATION_FAILED' ELSE 'About ' || t END AS description FROM (SELECT slug, coalesce(title, '') AS t FROM kb))"""),
+    "q_report_topics": "WITH b AS (" + _BREAKDOWN + """) SELECT user_id, tag, rpad(tag, CAST(greatest(32, length(tag)) AS INT), ' ') || ' ' || lpad(CAST(solved AS VARCHAR), CAST(greatest(4, length(CAST(solved AS VARCHAR))) AS INT), ' ') || '/'
+      || rpad(CAST(attempted AS VARCHAR), CAST(greatest(4, length(CAST(attempted AS VARCHAR))) AS INT), ' ') || ' avg ' || lpad(CAST(avg AS VARCHAR), CAST(greatest(4, length(CAST(avg AS VARCHAR))) AS INT), ' ') || ' ('
+      || lpad(CAST(CAST(floor(CAST(pct AS DECIMAL(18, 6)) + 0.5) AS BIGINT) AS VARCHAR), 4, ' ') || '%) ' || repeat('█', bar) || CASE WHEN weak THEN ' ←' ELSE '' END AS line FROM b""",
     "q_prompt_render": _with("kb", r"""SELECT slug, 'Topic: ' || coalesce(title, '') || chr(10) || 'Category: ' || coalesce(category, 'Uncategorized') || chr(10) || 'Tags: '
       || array_to_string(list_filter(coalesce(tags, []), lambda x: x IS NOT NULL), ', ') || chr(10) || 'Answer with one JSON object.' AS prompt FROM kb"""),
-    "q_json_extract": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
+    "q_json_extract": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events",
     "q_html_links": _with("p c", """SELECT p.contest_id AS page_id, coalesce(p.url, '/') AS url, coalesce(p.name, '?') AS label FROM p JOIN c ON c.contest_id = p.contest_id
       UNION ALL SELECT DISTINCT p.contest_id, '/about', 'About' FROM p JOIN c ON c.contest_id = p.contest_id"""),
     "q_html_sections": _with("p c", "SELECT p.contest_id AS page_id, trim(c.name) AS section, coalesce(p.url, '/') AS url FROM p JOIN c ON c.contest_id = p.contest_id"),
@@ -264,7 +308,7 @@ SQL = {
       SELECT w.slug, top.root AS root_slug, (SELECT count(*) FROM d WHERE d.root = w.slug AND distance > 0) AS n_below FROM w JOIN top USING (slug)
       UNION ALL SELECT slug, '-', 0 FROM n WHERE slug NOT IN (SELECT slug FROM w)""",
     "q_graph_depth": _EDGES + " SELECT slug, depth FROM w UNION ALL SELECT slug, CAST(-1 AS BIGINT) FROM n WHERE slug NOT IN (SELECT slug FROM w)",
-    "q_stream_daily_activity": _with("act", "SELECT user_id, date, count(*) AS attempted, count(*) FILTER (ok) AS solved FROM act GROUP BY ALL"),
+    "q_stream_daily_activity": _with("s", "SELECT user_id, CAST(sent AS DATE) AS date, count(*) AS attempted, count(*) FILTER (ok) AS solved FROM s GROUP BY ALL"),
     "q_stream_contest_solved": _with("solved p", "SELECT * FROM solved SEMI JOIN p USING (contest_id, idx)"),
     "q_stream_first_seen": _with("s", "SELECT user_id, contest_id, idx, min(CAST(sent AS DATE)) AS date FROM s WHERE ok GROUP BY ALL"),
 }

@@ -10,7 +10,8 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Tries, seconds between them, and seconds that a call may take.
@@ -90,6 +91,40 @@ class JsonApi(DataSource):
         return _Reader(dict(self.options))
 
 
+PROBLEMS = (
+    "struct<problems: array<struct<contestId: bigint, index: string, name: string, rating: int, tags: array<string>>>, "
+    "problemStatistics: array<struct<contestId: bigint, index: string, solvedCount: bigint>>>")
+SUBMISSION = "struct<id: bigint, creationTimeSeconds: bigint, verdict: string, problem: struct<contestId: bigint, index: string>>"
+
+
+def catalogue_of(answers: DataFrame) -> DataFrame:
+    """(contest_id, idx, name, rating, tags, solved_count) of catalogue answers (body); problems without statistics have 0."""
+    r = answers.select(F.from_json("body", PROBLEMS).alias("r"))
+    p = r.select(F.inline("r.problems")).withColumnsRenamed({"contestId": "contest_id", "index": "idx"})
+    s = r.select(F.inline("r.problemStatistics")).groupBy(F.col("contestId").alias("contest_id"), F.col("index").alias("idx")).agg(
+        F.max("solvedCount").alias("solved_count"))
+    return p.join(s, ["contest_id", "idx"], "left").fillna(0, ["solved_count"])
+
+
+def submissions_of(answers: DataFrame, user_id: str = "user_id") -> DataFrame:
+    """(user, submission_id, contest_id, idx, ok, at) of submission answers (user, body)."""
+    return answers.select(user_id, F.from_json("body", SUBMISSION).alias("r")).select(
+        user_id, F.col("r.id").alias("submission_id"), F.col("r.problem.contestId").alias("contest_id"), F.col("r.problem.index").alias("idx"),
+        F.col("r.verdict").eqNullSafe("OK").alias("ok"), F.timestamp_seconds("r.creationTimeSeconds").alias("at"))
+
+
+def isolated(jobs: dict[str, Callable[[], None]]) -> dict[str, str]:
+    """Runs every ingestion job; one that fails does not stop the others. Returns what happened to each."""
+    done = {}
+    for name, job in jobs.items():
+        try:
+            job()
+            done[name] = "ok"
+        except Exception as e:  # reported to the caller
+            done[name] = f"{type(e).__name__}: {e}"
+    return done
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(JsonApi)
 

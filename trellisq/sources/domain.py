@@ -14,7 +14,7 @@ from trellisq.sources.tables import current_problems, latest_by, table
 
 # Tags that no statistic counts.
 IGNORED_TAGS = ("*special", "2-sat", "interactive")
-# Difficulty of the task categories; a category that is missing has none.
+# Difficulty of the task categories of the tables used here (the task catalogue is `part`); a category that is missing has none.
 TASK_CATEGORY_RATING = {"ECONOMY": 800, "LARGE": 1800, "MEDIUM": 1300, "SMALL": 1000, "STANDARD": 1500}
 #: An unrated user practises at this rating.
 DEFAULT_TARGET = 800
@@ -98,6 +98,19 @@ def solved_tasks(spark: SparkSession, d: str) -> DataFrame:
     return lines.join(orders, "o_orderkey").select("user_id", "task_id").distinct()
 
 
+def task_solves(spark: SparkSession, d: str) -> DataFrame:
+    """(user_id, task_id, date): each solved task once, on the day it was first solved."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), F.to_date("o_orderdate").alias("date"))
+    lines = table(spark, d, "lineitem").where(F.col("l_returnflag") == "N").select(
+        F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("task_id"))
+    return lines.join(orders, "o_orderkey").groupBy("user_id", "task_id").agg(F.min("date").alias("date"))
+
+
+def accepted_list(spark: SparkSession, d: str) -> DataFrame:
+    """(user_id, contest_id, idx) of every accepted submission: a problem solved twice stands twice."""
+    return submissions(spark, d).where("ok").select("user_id", "contest_id", "idx")
+
+
 def activity(spark: SparkSession, d: str) -> DataFrame:
     """(user_id, at, date, ok, value, event_type) of the activity feed; a purchase counts as solved."""
     e = table(spark, d, "events")

@@ -37,6 +37,11 @@ def save(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def append_log(lines: DataFrame, path: str) -> None:
+    """Adds (line) to a log of text files."""
+    lines.select("line").write.mode("append").text(path)
+
+
 def save_by(df: DataFrame, path: str, key: str) -> None:
     """A folder for each key; only the folders of the keys in ``df`` are replaced."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)

@@ -12,6 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The stored tables.
+TABLES = ("users", "contests", "problems", "problem_snapshots", "submissions", "db", "connections", "core_topics", "events", "part", "orders", "lineitem")
+
+
+def register_views(spark: SparkSession, sf_dir: str, prefix: str = "") -> list[str]:
+    """A temporary SQL view for each stored table; returns their names."""
+    for name in TABLES:
+        table(spark, sf_dir, name).createOrReplaceTempView(f"{prefix}{name}")
+    return [f"{prefix}{name}" for name in TABLES]
+
+
 def latest_by(df: DataFrame, keys: list[str], version: str, values: list[str]) -> DataFrame:
     """One row per key: the one with the greatest ``version``.
 

@@ -1,21 +1,21 @@
 """Live counterparts of the polling features.
 
-Every job reads files as a stream, keeps keyed state and writes the keys that
-a batch changed (update mode) as one folder per batch in the shared folder.
-A batch that is repeated after a failure overwrites its own folder, so results
-are exact. The reader keeps the latest state of each key.
+Every job reads files as a stream, reduces each batch to rows that merge (a
+set, a minimum) and writes them as one folder per batch in the shared folder;
+the reader merges the folders. So no state grows in the executors, nothing is
+too late to count, and a batch that is repeated after a failure overwrites its
+own folder: results are exact.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellisq.functions.normalize import idx_key
-from trellisq.session import ensure_checkpoint_dir
-from trellisq.sources.tables import latest_by
+from trellisq.session import scratch_path
 
 
 def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,52 +24,43 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def run_available(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs the stream over what is there now; returns the written rows with ``batch``."""
+def run_available(stream: DataFrame, reduced: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Runs the stream over what is there now; returns the reduced rows of all batches, still to be merged."""
     spark = stream.sparkSession
-    home = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    home = scratch_path(spark, "stream")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{home}/out/batch={batch_id}")
+        reduced(batch).write.mode("overwrite").parquet(f"{home}/out/batch={batch_id}")
 
-    run = (stream.writeStream.outputMode(mode).foreachBatch(write)
-           .option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start())
+    run = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    empty = spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0))
-    return spark.read.parquet(f"{home}/out") if run.lastProgress else empty
-
-
-def activity_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return file_stream(spark, sf_dir, "events").select(
-        "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").eqNullSafe("purchase").alias("ok"))
-
-
-def daily_activity(activity: DataFrame, lateness: str = "30 days") -> DataFrame:
-    """(user_id, date, attempted, solved) in tumbling days; later rows than the watermark are dropped."""
-    days = activity.withWatermark("ts", lateness).groupBy("user_id", F.window("ts", "1 day")).agg(
-        F.count(F.lit(1)).alias("attempted"), F.count_if("ok").alias("solved"))
-    changed = days.select("user_id", F.to_date(F.col("window.start")).alias("date"), "attempted", "solved")
-    return latest_by(run_available(changed, "update"), ["user_id", "date"], "batch", ["attempted", "solved"])
+    empty = reduced(spark.createDataFrame([], stream.schema))
+    return spark.read.schema(empty.schema).parquet(f"{home}/out") if run.lastProgress else empty
 
 
 def submission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_stream(spark, sf_dir, "submissions").select(
-        "user_id", "contest_id", idx_key(F.col("idx")).alias("idx"), F.col("verdict").eqNullSafe("OK").alias("ok"),
+        "submission_id", "user_id", "contest_id", idx_key(F.col("idx")).alias("idx"), F.col("verdict").eqNullSafe("OK").alias("ok"),
         F.col("submitted_at").cast("timestamp").alias("at"))
 
 
+def daily_activity(submissions: DataFrame) -> DataFrame:
+    """(user_id, date, attempted, solved) per day; a submission that is delivered twice counts once, however late."""
+    rows = run_available(submissions, lambda b: b.select("submission_id", "user_id", F.to_date("at").alias("date"), "ok").distinct())
+    return rows.select("submission_id", "user_id", "date", "ok").distinct().groupBy("user_id", "date").agg(F.count(F.lit(1)).alias("attempted"), F.count_if("ok").alias("solved"))
+
+
 def contest_solved(submissions: DataFrame, problems: DataFrame) -> DataFrame:
     """(user_id, contest_id, idx): each problem of the static set once, when a first success arrives."""
-    hits = submissions.where("ok").join(problems.select("contest_id", "idx"), ["contest_id", "idx"], "left_semi")
-    once = hits.select("user_id", "contest_id", "idx").dropDuplicates()
-    return run_available(once, "append").select("user_id", "contest_id", "idx")
+    keys = problems.select("contest_id", "idx")
+    hits = lambda b: b.where("ok").join(keys, ["contest_id", "idx"], "left_semi").select("user_id", "contest_id", "idx").distinct()
+    return run_available(submissions, hits).select("user_id", "contest_id", "idx").distinct()
 
 
 def first_seen(submissions: DataFrame) -> DataFrame:
     """(user_id, contest_id, idx, date): the earliest day on which a problem was seen solved."""
-    days = submissions.where("ok").groupBy("user_id", "contest_id", "idx").agg(F.min(F.to_date("at")).alias("date"))
-    seen = run_available(days, "update")
-    return seen.groupBy("user_id", "contest_id", "idx").agg(F.min("date").alias("date"))
+    earliest = lambda b, day: b.groupBy("user_id", "contest_id", "idx").agg(F.min(day).alias("date"))
+    return earliest(run_available(submissions, lambda b: earliest(b.where("ok"), F.to_date("at"))), "date")
 
 
 def session_phase(started: Column, now: Column, seconds: int, warning: int = 300, critical: int = 60) -> Column:
