@@ -137,7 +137,7 @@ def language_sketches(stats: DataFrame) -> DataFrame:
         *[F.kll_sketch_agg_double(F.col(s).cast("double")).alias(f"sk_{s}") for s in STATISTICS])
 
 
-def quality(stats: DataFrame, tail: float = -3.5, far_tail: float = -7.0) -> DataFrame:
+def quality(stats: DataFrame, tail: float = -6.0, far_tail: float = -7.5) -> DataFrame:
     """The statistics with ``pct_*`` (percentile in the language), ``z_*`` (robust z) and ``flagged``.
 
     The reference of a text is its language's detected texts; that of an

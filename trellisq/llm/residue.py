@@ -77,12 +77,12 @@ def _messages(value: Column, is_code: Column) -> Column:
     markup = F.regexp_replace(value, r"(?s)<!--|-->|<(?:/?[a-zA-Z!][^<>]{0,200})>", "\n")
     json = F.regexp_replace(F.regexp_extract(value, r'^\s*\{"[a-z]+":\s*"((?:[^"\\]|\\.)*)"', 1), r"\\(.)", "$1")
     text = F.when(json != "", json).otherwise(markup)
-    sentences = F.split(text, r"(?<=[.!?])\s+|\n+")
+    sentences = F.split(text, r"(?<=[.!?]|[.!?][)\"”’])\s+|\n+")
     # Of code: each comment, and the lines that hold none of its punctuation.
     comments = F.regexp_extract_all(value, F.lit(r"//[^\n]*|/\*(?s:.*?)\*/"), F.lit(0))
     comments = F.flatten(F.transform(comments, lambda c: F.split(c, r"\n")))
     bare = F.filter(F.split(F.when(json != "", json).otherwise(markup), r"\n"), lambda x: ~x.rlike(r"[;{}=]|^\s*(?:#|//|/?\*)"))
-    bare = F.flatten(F.transform(bare, lambda x: F.split(x, r"(?<=[.!?])\s+")))
+    bare = F.flatten(F.transform(bare, lambda x: F.split(x, r"(?<=[.!?]|[.!?][)\"”’])\s+")))
     parts = F.when(is_code, F.concat(comments, bare)).otherwise(sentences)
     clean = F.transform(parts, lambda x: F.btrim(F.regexp_replace(F.regexp_replace(
         F.lower(F.regexp_replace(x, r"^\s*(?://+|/\*+|\*+)|\*+/\s*$", "")), r"\d+", "#"), r"\s+", " ")))
