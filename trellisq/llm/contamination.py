@@ -239,13 +239,17 @@ def _windows(offsets: np.ndarray, size: int, p: Leaks) -> tuple[np.ndarray, np.n
     return text, start, np.minimum(start + size, offsets[1:][text])
 
 
-def _latent(terms: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """L2-normalised latent rows of windows; table is idf times basis. Rows are differences of running sums."""
-    low, high = start[0], end[-1]
-    sums = np.zeros((high - low + 1, table.shape[1]))
-    np.cumsum(table[terms[low:high]], axis=0, dtype=np.float64, out=sums[1:])
-    v = sums[end - low] - sums[start - low]
-    return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+def _running(terms: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Running sums of the rows of words; table is idf times basis."""
+    sums = np.zeros((len(terms) + 1, table.shape[1]))
+    np.cumsum(table[terms], axis=0, dtype=np.float64, out=sums[1:])
+    return sums
+
+
+def _latent(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """L2-normalised latent rows of windows, as differences of running sums."""
+    v = (sums[end] - sums[start]).astype(np.float32)
+    return v / np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v))[:, None], 1e-9)
 
 
 def _triples(words: np.ndarray) -> np.ndarray:
@@ -516,7 +520,7 @@ def _stored_items(item_words: DataFrame, item_id: str, frames: np.ndarray, table
                 _, start, end = _windows(np.array([0, len(w)]), size, p)
                 marks.append(distinct_words(w, own_frames))
                 sizes.append(size)
-                vectors.append(_latent(_terms(w, p.hash_bits), start, end, own_table).ravel())
+                vectors.append(_latent(_running(_terms(w, p.hash_bits), own_table), start, end).ravel())
             lists = lambda x: pa.ListArray.from_arrays(
                 np.cumsum([0] + [len(y) for y in x]).astype(np.int32), pa.array(np.concatenate(x) if x else np.empty(0)))
             yield pa.RecordBatch.from_arrays(
@@ -531,14 +535,16 @@ def _stored_items(item_words: DataFrame, item_id: str, frames: np.ndarray, table
     return path, n_blocks
 
 
-def _doc_windows(terms: np.ndarray, offsets: np.ndarray, size: int, table: np.ndarray, p: Leaks) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pieces (text, latent row) of the windows of texts."""
-    text, start, end = _windows(offsets, size, p)
-    at = 0
-    while at < len(text):
-        upto = max(at + 1, int(np.searchsorted(start, start[at] + _PIECE // 8)))
-        yield text[at:upto], _latent(terms, start[at:upto], end[at:upto], table)
-        at = upto
+def _doc_windows(terms: np.ndarray, offsets: np.ndarray, sizes: list[int], table: np.ndarray, p: Leaks) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Pieces (window size, text, latent row) of the windows of texts; all sizes share the running sums of a piece."""
+    windows = {size: _windows(offsets, size, p) for size in sizes}
+    step = _PIECE // 8
+    for low in range(0, len(terms), step):
+        sums = _running(terms[low:low + step + max(sizes)], table)
+        for size, (text, start, end) in windows.items():
+            a, z = np.searchsorted(start, low), np.searchsorted(start, low + step)
+            if z > a:
+                yield size, text[a:z], _latent(sums, start[a:z] - low, end[a:z] - low)
 
 
 def _largest(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -597,13 +603,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, p: Leaks = Leaks()) -> DataFra
                     continue
                 n = len(block.ids)
                 keys, cosines = [np.empty(0, np.int64)], [np.empty(0, np.float32)]
-                for size in block.by_size:
-                    for text, latent in _doc_windows(terms, offsets, size, own_table, p):
-                        r, item, cosine = block.candidates(size, latent, p)
-                        if len(r):
-                            pair, c = _largest(text[r] * n + item, cosine)
-                            keys.append(pair)
-                            cosines.append(c)
+                for size, text, latent in _doc_windows(terms, offsets, list(block.by_size), own_table, p):
+                    r, item, cosine = block.candidates(size, latent, p)
+                    if len(r):
+                        pair, c = _largest(text[r] * n + item, cosine)
+                        keys.append(pair)
+                        cosines.append(c)
                 pair, cosine = _largest(np.concatenate(keys), np.concatenate(cosines))
                 starts = np.flatnonzero(np.diff(pair // n, prepend=-1))
                 keep = [block.possible(whole[x[0] // n], x % n, p) for x in np.split(pair, starts[1:])] if len(pair) else []
