@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellisq.functions.normalize import slug_key
-from trellisq.session import broadcast_if_small
+from trellisq.session import broadcast_if_small, cut_lineage
 
 #: A vocabulary file of a public tokenizer, in the format of the tokenizers library.
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -104,12 +104,16 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
     document. Documents without tokens are never drawn. Ties go by doc_id;
     repeated doc_ids are rows of their own. Empty tables give no rows.
     """
+    return _mixed(sized, cut_lineage(source_budgets(sized, targets)), seed)
+
+
+def _mixed(sized: DataFrame, all_budgets: DataFrame, seed: int) -> DataFrame:
     budgets = broadcast_if_small(
-        source_budgets(sized, targets).select(
+        all_budgets.select(
             "key", F.col("source").alias("as_written"), "whole", "rest_share", F.col("tokens").alias("source_tokens")),
         MAX_BROADCAST_SOURCES)
     d = sized.select("doc_id", slug_key(F.col("source")).alias("key"), "tokens").join(budgets, "key").join(
-        broadcast_if_small(inclusion_scale(sized, budgets), MAX_BROADCAST_SOURCES), "key", "left")
+        broadcast_if_small(cut_lineage(inclusion_scale(sized, budgets)), MAX_BROADCAST_SOURCES), "key", "left")
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(2**52)) + 0.5) / F.lit(float(2**52))
     p = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.coalesce(F.col("scale") * F.col("tokens"), F.lit(0.0))))
     odds = (u / (1 - u)) / (p / (1 - p))
@@ -121,9 +125,9 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
         F.sum("tokens").alias("range_tokens"), F.first(F.col("rest_share") * F.col("source_tokens")).alias("rest"))
     before = F.sum("range_tokens").over(Window.partitionBy("key").orderBy("range")) - F.col("range_tokens")
     cut = broadcast_if_small(
-        per_range.withColumn("before", before).where(
+        cut_lineage(per_range.withColumn("before", before).where(
             (F.col("before") <= F.col("rest")) & (F.col("before") + F.col("range_tokens") > F.col("rest")))
-        .select("key", F.col("range").alias("cut"), "before", "rest"),
+            .select("key", F.col("range").alias("cut"), "before", "rest")),
         MAX_BROADCAST_SOURCES)
     placed = ranked.join(cut, "key", "left")
     edge = placed.where((F.col("range") == F.col("cut")) & (F.col("tokens") > 0))
@@ -148,11 +152,13 @@ def mix_report(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFram
     read off the mix: false where it falls short although every document is in
     it max_repeats times.
     """
-    used = mix(sized, targets, seed).groupBy("source").agg(
+    budgets = cut_lineage(source_budgets(sized, targets))
+    used = _mixed(sized, budgets, seed).groupBy("source").agg(
         F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.max("copies").alias("most_copies"),
         F.count(F.lit(1)).alias("used_docs"))
-    r = source_budgets(sized, targets).join(used, "source", "left").fillna(0, ["used_tokens", "most_copies", "used_docs"])
+    r = budgets.join(used, "source", "left").fillna(0, ["used_tokens", "most_copies", "used_docs"])
     short = (F.col("used_tokens") == F.col("tokens") * F.col("max_repeats")) & (F.col("used_tokens") < F.col("target_tokens"))
+    r = cut_lineage(r)  # one row for each target source
     all_used = r.agg(F.sum("used_tokens").alias("mix_tokens"))
     return r.crossJoin(F.broadcast(all_used)).select(
         "source", "target_share", "max_repeats", "docs", "tokens", "used_docs", "used_tokens", "most_copies",
